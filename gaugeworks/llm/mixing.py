@@ -61,8 +61,8 @@ def highest_quotients(parties: DataFrame, group: list[str], votes: str, seats: C
     """
     whole = Window.partitionBy(*group)
     p = parties.withColumn("_v", F.col(votes).cast("double")).withColumn("_seats", seats.cast("long"))
-    p = p.withColumn("_V", F.sum("_v").over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole))
-    low, high = F.col("_V") / (F.col("_seats") + F.col("_n") / 2 + 1), F.col("_V") / (F.col("_seats") - F.col("_n") / 2 - 1)
+    p = p.withColumn("_votes", F.sum("_v").over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole))
+    low, high = F.col("_votes") / (F.col("_seats") + F.col("_n") / 2 + 1), F.col("_votes") / (F.col("_seats") - F.col("_n") / 2 - 1)
     sure = F.when((F.col("_v") > 0) & (F.col("_seats") > F.col("_n") / 2 + 1), F.floor(F.col("_v") / high)).otherwise(F.lit(0)).cast("long")
     p = p.withColumn("_sure", F.greatest(sure - 1, F.lit(0)).cast("long"))
     last = F.when(F.col("_v") > 0, F.ceil(F.col("_v") / low) + 1).otherwise(F.lit(0)).cast("long")

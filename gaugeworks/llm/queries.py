@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import mixing, sharding, url_filter
+from gaugeworks.llm import mixing, sharding, simhash, url_filter
 from gaugeworks.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ URL_RULES = [
 ]
 
 
+def op2_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, budget=3)
+
+
 def op6_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,6 +38,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_simhash_pigeonring": op2_simhash_pigeonring,
     "op6_sainte_lague_mix": op6_sainte_lague_mix,
     "op7_sampled_splitters": op7_sampled_splitters,
     "op9_url_filter": op9_url_filter,

@@ -1 +1,11 @@
-"""Operators for training-data pipelines. Nothing outside this subpackage imports it."""
+"""Operators for training-data pipelines. Nothing outside this subpackage imports it.
+
+Functions of this package travel to Python workers by value, so executors need numpy, pyarrow, xxhash and tokenizers,
+but not this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

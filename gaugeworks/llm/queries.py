@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import mixing, sharding, simhash, url_filter
+from gaugeworks.llm import classifier, decontamination, mixing, quality, sharding, simhash, url_filter
 from gaugeworks.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,14 @@ def op2_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, budget=3)
 
 
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 def op6_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -37,11 +45,19 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
+    "op4_spaced_seeds": op4_spaced_seeds,
+    "op5_distribution_divergence": op5_distribution_divergence,
     "op6_sainte_lague_mix": op6_sainte_lague_mix,
     "op7_sampled_splitters": op7_sampled_splitters,
     "op9_url_filter": op9_url_filter,
+    "op10_factorisation_machine": op10_factorisation_machine,
 }
 
 OP6_SQL = r"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import classifier, decontamination, mixing, quality, sharding, simhash, url_filter
-from gaugeworks.llm.common import shared_folder, table
+from gaugeworks.llm import classifier, decontamination, mixing, quality, sharding, simhash, token_store, url_filter
+from gaugeworks.llm.common import scratch_path, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,26 @@ URL_RULES = [
 ]
 
 
+END_ID = 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def stored_tokens(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Writes the token store of docs to the shared folder and reads it back."""
+    path = scratch_path(spark, "tokens")
+    token_store.write_store(docs, path, tokenizer_path(), END_ID)
+    return token_store.read_store(spark, path, docs.schema["doc_id"].dataType.simpleString())
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_tokens(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, budget=3)
 
@@ -51,6 +71,7 @@ def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_store": op1_token_store,
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
     "op4_spaced_seeds": op4_spaced_seeds,
     "op5_distribution_divergence": op5_distribution_divergence,

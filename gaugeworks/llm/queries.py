@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import classifier, decontamination, mixing, quality, sharding, simhash, token_store, url_filter
+from gaugeworks.llm import classifier, decontamination, mixing, quality, sharding, simhash, token_store, url_filter, warc
 from gaugeworks.llm.common import scratch_path, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,12 @@ def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_size(table(spark, sf_dir, "documents"), 24)
 
 
+def op8_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    index = warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_records(index, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op5_distribution_divergence": op5_distribution_divergence,
     "op6_sainte_lague_mix": op6_sainte_lague_mix,
     "op7_sampled_splitters": op7_sampled_splitters,
+    "op8_warc_index_first": op8_warc_index_first,
     "op9_url_filter": op9_url_filter,
     "op10_factorisation_machine": op10_factorisation_machine,
 }
@@ -112,4 +119,12 @@ m AS (SELECT h.page_id, h.host, h.path, rhost || rpath AS rule, action, row_numb
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WHERE n = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_sainte_lague_mix": OP6_SQL, "op9_url_filter": OP9_SQL}
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS chosen FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> chosen THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN payload_bytes >= 1000 AND page_id <> chosen THEN chosen END AS refers_to FROM m
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_sainte_lague_mix": OP6_SQL, "op8_warc_index_first": OP8_SQL, "op9_url_filter": OP9_SQL}

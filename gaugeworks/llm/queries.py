@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import classifier, decontamination, mixing, quality, sharding, simhash, token_store, url_filter, warc
+from gaugeworks.llm import classifier, decontamination, mixing, quality, sharding, simhash, suffix_dedup, token_store, url_filter, warc
 from gaugeworks.llm.common import scratch_path, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op2_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, budget=3)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), 50).drop("spans", "kept")
+
+
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -79,6 +83,7 @@ def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_spaced_seeds": op4_spaced_seeds,
     "op5_distribution_divergence": op5_distribution_divergence,
     "op6_sainte_lague_mix": op6_sainte_lague_mix,

@@ -1,7 +1,61 @@
-"""The corpus pipeline (being built)."""
+"""The corpus pipeline: quality rules, near-duplicates, benchmark passages, mixture, token store.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder and
+rereads it as the next stage's docs. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugeworks.llm import decontamination, mixing, quality, queries, simhash
+from gaugeworks.llm.common import stored, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or their language's reference distributions reject go."""
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicate texts (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, each as often as the mix takes it (up to 3 times)."""
+    rest = [F.struct(*docs.columns).alias("_row")]
+    whole = docs.select("doc_id", "source", "text", *rest)
+    mixed = mixing.mix(whole, whole_documents=True, keep=("_row",))
+    times = (F.col("copies") + (F.col("part_to") > 0).cast("long")).cast("int")
+    return mixed.where(times > 0).select("_row", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select("_row.*")
+
+
+def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token store of what is left, read back: one row per document."""
+    return queries.stored_tokens(spark, docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_passages", benchmark_passages),
+    ("mixture", mixture),
+    ("token_store", token_store),
+]
+
+#: SQL has neither the tokenizer nor the fingerprints' hash: tests hold run() against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import stored
+from gaugeworks.llm.common import free_shuffles, stored
 from gaugeworks.llm.components import components
 from gaugeworks.llm.words import word_pieces, xxh64
 
@@ -178,3 +178,156 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFra
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(ids, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near-duplicate texts: the same filter over fingerprints of distinct words finds candidates, whose word shingles are then compared.
+
+#: A run in which each member has more matches than this on average is compared with hubs only.
+MATCHES = 32
+HUBS = 32
+
+
+def text_node(text: Column) -> Column:
+    """A 60-bit number of the text: equal texts are one node."""
+    return F.conv(F.left(F.md5(F.coalesce(text, F.lit(""))), F.lit(15)), 16, 10).cast("long")
+
+
+def word_set_fingerprints(column: pa.Array) -> np.ndarray:
+    """Fingerprints over each text's distinct words: few bits change where few words do, whatever shingles they are in."""
+    out = np.zeros(len(column), np.uint64)
+    for at, to, w in word_pieces(column, lower=True):
+        h, of = w.hashes(42), w.of()
+        order = np.lexsort((h, of))
+        h, of = h[order], of[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+        if len(h):
+            out[at:to] = _majority(h[new], np.bincount(of[new], minlength=to - at))
+    return out
+
+
+def shingle_sets(column: pa.Array, words: int) -> pa.Array:
+    """Each text's distinct shingle hashes, sorted."""
+    parts, sizes = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    for at, to, w in word_pieces(column, lower=True):
+        start, end, n = w.shingles(words)
+        h, of = xxh64(w.buf, start, end, 42).view(np.int64), np.repeat(np.arange(to - at), n)
+        order = np.lexsort((h, of))
+        h, of = h[order], of[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+        parts.append(h[new])
+        sizes.append(np.bincount(of[new], minlength=to - at))
+    return pa.LargeListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int64()), pa.array(np.concatenate(parts)))
+
+
+def _matches(fp: np.ndarray, node: np.ndarray, probe: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of one run within budget; in a dense run those with hubs, which are spread over the run."""
+    rows, a, b, found = np.flatnonzero(probe), [], [], 0
+    block = max(1, PAIRS // len(fp))
+    for at in range(0, len(rows), block):
+        own = rows[at : at + block]
+        i, j = np.nonzero((np.bitwise_count(fp[own, None] ^ fp[None, :]) <= budget) & (node[own, None] < node[None, :]))
+        a.append(node[own[i]])
+        b.append(node[j])
+        found += len(i)
+        if found > MATCHES * len(fp):
+            hubs = rows[np.unique(np.linspace(0, len(rows) - 1, HUBS).astype(np.int64))]
+            i, j = np.nonzero((np.bitwise_count(fp[hubs, None] ^ fp[None, :]) <= budget) & (node[hubs, None] != node[None, :]))
+            return np.minimum(node[hubs[i]], node[j]), np.maximum(node[hubs[i]], node[j])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def candidate_pairs(nodes: DataFrame, budget: int) -> DataFrame:
+    """(a, b), a < b, repeats included: nodes (columns fp, node) whose fingerprints are within budget."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, node = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for at in range(0, len(fp), 1 << 14):
+                key, of = keys_batch(fp[at : at + (1 << 14)], budget)
+                yield pa.record_batch([pa.array((key >> np.uint64(1)).view(np.int64)), pa.array((key & np.uint64(1)).astype(bool)), pa.array(of.view(np.int64)), pa.array(np.resize(node[at : at + (1 << 14)], len(of)))], names=["run", "probe", "fp", "node"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+
+        def out(run: np.ndarray, probe: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+            begins = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+            ends = np.append(begins[1:], len(run))
+            got = [_matches(fp[x:y], node[x:y], probe[x:y], budget) for x, y in zip(begins.tolist(), ends.tolist(), strict=True) if y - x > 2 and probe[x:y].any()]
+            if got:
+                pairs = np.unique(np.stack([np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])]), axis=1)
+                yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+        for batch in batches:
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if len(held[0]) < 1 << 17:
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            yield from out(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
+        yield from out(*held)
+
+    rows = nodes.select("fp", "node").mapInArrow(expand, "run long, probe boolean, fp long, node long")
+    return rows.repartition("run").sortWithinPartitions("run").mapInArrow(join, "a long, b long").distinct()
+
+
+def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 7) -> DataFrame:
+    """doc_id, node, component_id: classes of texts linked by a shingle similarity (Jaccard) of at least `similarity`.
+
+    Candidates are texts whose fingerprints over distinct words differ in at most `budget` bits; each candidate pair is
+    then compared by its `words`-word shingles, so no pair below `similarity` is ever linked.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(word_set_fingerprints(b.column(2)).view(np.int64))], names=["doc_id", "node", "fp"])
+
+    d = docs.select("doc_id", text_node(F.col("text")).alias("node"), "text")
+    prints = stored(d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, node long, fp long"), "word-fingerprints")
+    nodes = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"))
+    pairs = stored(candidate_pairs(nodes, budget), "candidates")
+    free_shuffles(docs.sparkSession)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), shingle_sets(b.column(1), words).cast(pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    asked = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
+    texts = d.join(asked, d["node"] == asked["n"], "left_semi").groupBy("node").agg(F.max("text").alias("text"))
+    shingles = texts.mapInArrow(sets, "node long, shingles array<long>")
+    shingles = stored(shingles, "shingles")
+    left = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                x, y = (b.column(c)[i].values.to_numpy() for c in (2, 3))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                whole = len(x) + len(y) - shared
+                keep[i] = whole == 0 or shared >= similarity * whole - 1e-9
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    found = components(both.mapInArrow(compare, "a long, b long"))
+    free_shuffles(docs.sparkSession)
+    named = nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = stored(named, "text-classes")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = named.join(ids, "root").select(F.col("node").alias("n"), "root", "component_id")
+    return prints.join(classes, prints["node"] == classes["n"]).select("doc_id", "node", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 7) -> DataFrame:
+    """The documents with the smallest doc_id of each class of near-duplicate texts, with all of their columns."""
+    classes = near_duplicate_texts(docs, words, similarity, budget)
+    # a class's smallest doc_id, and one of the texts under it; null doc_ids count as larger than all others
+    chosen = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("one")).select(F.col("one.doc_id").alias("_id"), F.col("one.node").alias("_node"))
+    rows = docs.withColumn("_text_node", text_node(F.col("text")))
+    kept = rows.join(chosen, (rows["_text_node"] == chosen["_node"]) & rows["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
+    repeats = classes.groupBy("doc_id", "node").count().where("count > 1").limit(1).count()
+    if repeats:  # rows that share doc_id and text
+        kept = kept.dropDuplicates(["doc_id", "_text_node"])
+    return kept.select(*docs.columns)

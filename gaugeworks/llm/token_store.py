@@ -36,18 +36,32 @@ from gaugeworks.llm.common import drop_scratch
 
 WINDOW, LEAST, MOST, CUT_BITS = 16, 32, 2048, 8
 #: Units whose ids a worker remembers.
-REMEMBERED = 600_000
-UNIT = re.compile(r"\s*\S+|\s+")
+REMEMBERED = 1_000_000
+#: Letters before white space, common punctuation or the end, with the space before them; other runs likewise; white
+#: space but for its last character; a single white space or what ends a text.
+UNIT = re.compile(r" ?[^\W\d_]+(?=[\s.,;:!?#$%&*|<>\"()]|$)| ?\S+|\s+(?=\s\S)|\s+")
 #: Code points that Python takes for white space and tokenizers don't.
-UNCOMMON = re.compile("[\x1c-\x1f]")
+UNCOMMON = ("\x1c", "\x1d", "\x1e", "\x1f")
 BATCH_CHARS = 1 << 20
+#: New units encoded as one text.
+TOGETHER = 64
+
+
+class Numbers(dict):
+    """Numbers keys as they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 class UnitEncoder:
-    """Encodes texts as the tokenizer does, remembering the ids of units (white space and the word after it).
+    """Encodes texts as the tokenizer does, remembering the ids of units.
 
-    Byte-level pre-tokenization never joins what stands before white space with what follows, and looks ahead only
-    within a run of white space, so a text's ids are those of its units one after another.
+    Byte-level pre-tokenization splits at all places where units end: it never joins what stands before white space with
+    what follows, gives the last space of white space to the word behind it, and splits letters from punctuation. So a
+    text's ids are those of its units one after another. New units are encoded as lines of one text: a line feed is a
+    token of its own before any unit without one.
     """
 
     def __init__(self, spec: str):
@@ -55,42 +69,78 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
+        self.feed = self.ids_of(["\n"])[0]
         self.forget()
 
+    def ids_of(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)  # where unit i's ids end; they begin where those of i - 1 end
+        self.learnt = 0
 
     def learn(self, units: list[str]) -> None:
-        n, used = len(self.known), int(self.at[len(self.known) - 1]) if self.known else 0
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        ends = used + np.cumsum([len(x) for x in ids])
-        while ends[-1] > len(self.flat):
+        """The ids of units that were numbered but not encoded yet."""
+        lines = [i for i, u in enumerate(units) if not u.isspace()] if len(self.feed) == 1 else []
+        sizes, held = np.zeros(len(units), np.int64), {}
+        runs = [lines[i : i + TOGETHER] for i in range(0, len(lines), TOGETHER)]
+        got = self.ids_of(["\n" + "\n".join(units[i] for i in run) for run in runs])
+        parts = []
+        for run, ids in zip(runs, got, strict=True):
+            ids = np.array(ids, np.uint32)
+            feeds = np.flatnonzero(ids == self.feed[0])
+            if len(feeds) != len(run):
+                parts += self.ids_of([units[i] for i in run])
+                sizes[run] = [len(x) for x in parts[-len(run) :]]
+                continue
+            parts.append(np.delete(ids, feeds))
+            sizes[run] = np.diff(np.append(feeds, len(ids))) - 1
+        mine = set(lines)
+        rest = [i for i in range(len(units)) if i not in mine]
+        for i, ids in zip(rest, self.ids_of([units[i] for i in rest]), strict=True):
+            held[i] = ids
+            sizes[i] = len(ids)
+        n, used = self.learnt, int(self.at[self.learnt - 1]) if self.learnt else 0
+        ends = used + np.cumsum(sizes)
+        while len(units) and ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(units) > len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.flat[used : ends[-1]] = np.concatenate([np.array(x, np.uint32) for x in ids])
+        begins = ends - sizes
+        if lines:
+            own = sizes[lines]
+            self.flat[np.repeat(begins[lines] - np.cumsum(own) + own, own) + np.arange(own.sum())] = np.concatenate(parts)
+        for i, ids in held.items():
+            self.flat[begins[i] : ends[i]] = ids
         self.at[n : n + len(units)] = ends
-        self.known.update(zip(units, range(n, n + len(units)), strict=True))
+        self.learnt += len(units)
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text, and where each text's ids begin and the last end."""
-        if len(self.known) > REMEMBERED:
+        if self.learnt > REMEMBERED:
             self.forget()
-        odd = [i for i, t in enumerate(texts) if UNCOMMON.search(t)]
-        direct = dict(zip(odd, (e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)), strict=True))
-        units = [[] if i in direct else UNIT.findall(t) for i, t in enumerate(texts)]
-        flat_units = [u for own in units for u in own]
-        fresh = [u for u in dict.fromkeys(flat_units) if u not in self.known]
-        for i in range(0, len(fresh), 4096):
-            self.learn(fresh[i : i + 4096])
-        which = np.fromiter(map(self.known.__getitem__, flat_units), np.int64, len(flat_units))
-        begins = np.concatenate([[0], self.at])[which]
+        odd = [i for i, t in enumerate(texts) if any(c in t for c in UNCOMMON)]
+        direct = dict(zip(odd, self.ids_of([texts[i] for i in odd]), strict=True))
+        units, counts = [], np.zeros(len(texts) + 1, np.int64)
+        for i, t in enumerate(texts):
+            if i not in direct:
+                own = UNIT.findall(t)
+                units += own
+                counts[i + 1] = len(own)
+        which = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        if len(self.known) > self.learnt:
+            fresh = np.zeros(len(self.known) - self.learnt, np.int64)
+            new = np.flatnonzero(which >= self.learnt)
+            fresh[which[new[::-1]] - self.learnt] = new[::-1]  # where each new unit stands
+            fresh = [units[i] for i in fresh.tolist()]
+            for i in range(0, len(fresh), 1 << 14):
+                self.learn(fresh[i : i + (1 << 14)])
+        begins = np.where(which > 0, self.at[which - 1], 0)
         sizes = self.at[which] - begins
         ids = self.flat[np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
-        unit_bounds = np.concatenate([[0], np.cumsum([len(own) for own in units])]).astype(np.int64)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])[unit_bounds]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
         out = np.insert(ids, bounds[1:], np.uint32(end_id)) if len(texts) else ids
         bounds = bounds + np.arange(len(bounds))
         if direct:
@@ -111,11 +161,12 @@ def cuts(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where chunks end, and how many each text has. No chunk is over MOST long or crosses texts."""
     t = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h = t ^ (t >> np.uint64(31))
-    step, factor = 1, np.uint64(0xD6E8FEB86659FD93)
+    step, factor = 1, 0xD6E8FEB86659FD93
     while step < WINDOW:
         part = h.copy()
-        part[step:] += factor * h[:-step] if step < len(h) else np.uint64(0)
-        h, factor, step = part, factor * factor, 2 * step
+        if step < len(h):
+            part[step:] += np.uint64(factor) * h[:-step]
+        h, factor, step = part, factor * factor % (1 << 64), 2 * step
     places = np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + 1
     lo = np.searchsorted(places, bounds[:-1], "right").tolist()
     hi = np.searchsorted(places, bounds[1:], "left").tolist()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from math import comb
 
 import pandas as pd
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 INTERVAL = ("lower_estimate", "upper_estimate", "ci_low", "ci_high")
 
 
-@lru_cache(maxsize=20_000)
 def hypergeometric_interval(x: int, n: int, population: int, alpha: float) -> tuple[float, float]:
     """Equal-tail exact inversion: the successes K under which both tails of x have at least alpha / 2. A census is exact.
 
@@ -114,8 +112,8 @@ def endpoints(h: Column) -> dict[str, Column]:
 
 
 def strata_histogram(rows: DataFrame, state: str, bits: Column, cap: int) -> DataFrame:
-    """state, bits, N and n = min(cap, N)."""
-    return rows.groupBy(state, bits.alias("bits")).agg(F.count(F.lit(1)).alias("N")).withColumn("n", F.least(F.col("N"), F.lit(cap)))
+    """state, bits, N and sampled = min(cap, N)."""
+    return rows.groupBy(state, bits.alias("bits")).agg(F.count(F.lit(1)).alias("N")).withColumn("sampled", F.least(F.col("N"), F.lit(cap)))
 
 
 def weighted_mean(strata: DataFrame, state: str, mean: Column, select: Column | None = None, complement: bool = False) -> DataFrame:

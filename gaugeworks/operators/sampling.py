@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALL = Window.partitionBy()
-
 
 def normalized(strata: DataFrame, weight: Column, out: str) -> DataFrame:
     """weight over its sum; strata is one row per stratum."""
-    return strata.withColumn("_w", weight.cast("double")).withColumn(out, F.col("_w") / F.sum("_w").over(ALL)).drop("_w")
+    return strata.withColumn("_w", weight.cast("double")).withColumn(out, F.col("_w") / F.sum("_w").over(Window.partitionBy())).drop("_w")
 
 
 def epsilon_mixture(strata: DataFrame, adaptive: Column, target: Column, epsilon: float, out: str) -> DataFrame:

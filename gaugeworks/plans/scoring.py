@@ -276,11 +276,11 @@ def paired_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("mcnemar_exact", TRANSITIONS.replace("GROUP BY request)\n", "GROUP BY request, id % 101)\n").replace("SELECT request, count(*) AS pairs", "SELECT request, id % 101 AS block, count(*) AS pairs") + """SELECT request, block, gained, lost, round(CASE WHEN gained + lost = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(gained, lost) + 1),
- lambda i: exp(lgamma(gained + lost + 1) - lgamma(i + 1) - lgamma(gained + lost - i + 1) - (gained + lost) * ln(2))))) END, 9) AS p FROM t""")
+ lambda i: exp(lgamma(gained + lost + 1) - lgamma(i + 1) - lgamma(gained + lost - i + 1) - (gained + lost) * ln(2))))) END, 7) AS p FROM t""")
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir).withColumn("block", F.col("id") % 101)
     t = contrasts.transitions(pairs, ["request", "block"])
-    return t.select("request", "block", "gained", "lost", F.round(contrasts.mcnemar_p(F.col("gained"), F.col("lost")), 9).alias("p"))
+    return t.select("request", "block", "gained", "lost", F.round(contrasts.mcnemar_p(F.col("gained"), F.col("lost")), 7).alias("p"))
 
 
 @query("mcnemar_exact_whole")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +32,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/gaugeworks/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def files_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes a query's shuffle files as soon as the query ends: for writes, which nobody repeats."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and no executor's loss undoes it."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with files_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,13 +60,6 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of finished queries before the next phase writes its own."""
-    gc.collect()
-    with contextlib.suppress(AttributeError):
-        spark.sparkContext._jvm.System.gc()
-
-
 def word_count(text: Column) -> Column:
     """Number of words (null text: 0), inside the JVM."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import drop_scratch, scratch_path
+from gaugeworks.llm.common import drop_scratch, files_freed, scratch_path
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -23,7 +23,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     def written(df: DataFrame) -> tuple[DataFrame, str]:
         path = scratch_path(spark, "edges")
-        df.distinct().write.parquet(path)
+        with files_freed(spark):
+            df.distinct().write.parquet(path)
         return spark.read.schema("a long, b long").parquet(path), path
 
     # a > b throughout

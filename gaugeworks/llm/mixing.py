@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import word_count
 
-ROWS_PER_SHARD = 20_000
+ROWS_PER_SHARD = 4_000
 
 
 def default_weights(sources: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ r(i, capped, level) AS (
  UNION ALL
  SELECT i + 1, c, (SELECT (sum(source_size) - coalesce(sum(3 * source_size) FILTER (list_contains(c, k)), 0))::DOUBLE / nullif(sum(weight) FILTER (NOT list_contains(c, k)), 0) FROM s1)
  FROM (SELECT i, capped, (SELECT coalesce(list(k), []) FROM s1 WHERE list_contains(capped, k) OR weight * level > 3 * source_size) AS c FROM r) WHERE len(c) > len(capped)),
-t AS (SELECT s1.*, CASE WHEN list_contains(l.capped, k) THEN 3.0::DOUBLE * source_size ELSE weight * l.level END AS target, CAST(ceil(n_rows / 20000.0) AS BIGINT) AS shards FROM s1, (SELECT * FROM r ORDER BY i DESC LIMIT 1) l),
+t AS (SELECT s1.*, CASE WHEN list_contains(l.capped, k) THEN 3.0::DOUBLE * source_size ELSE weight * l.level END AS target, CAST(ceil(n_rows / 4000.0) AS BIGINT) AS shards FROM s1, (SELECT * FROM r ORDER BY i DESC LIMIT 1) l),
 b AS (SELECT CAST(round(sum(source_size)::DOUBLE / 128) AS BIGINT) AS n FROM t),
 q AS (SELECT k, count(*) AS blocks FROM (SELECT k FROM (SELECT t.*, unnest(range(1, (SELECT n FROM b) + 1)) AS j FROM t WHERE target > 0) ORDER BY target / (2 * j - 1) DESC, source NULLS LAST LIMIT (SELECT n FROM b)) GROUP BY k),
 e AS (SELECT d.*, t.k, t.source_size, t.target, CAST('0x' || left(d.o, 8) AS BIGINT) % t.shards AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),

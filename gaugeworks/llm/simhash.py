@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import free_shuffles, stored
+from gaugeworks.llm.common import stored
 from gaugeworks.llm.components import components
 from gaugeworks.llm.words import word_pieces, xxh64
 
@@ -182,9 +182,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFra
 
 # Near-duplicate texts: the same filter over fingerprints of distinct words finds candidates, whose word shingles are then compared.
 
-#: A run in which each member has more matches than this on average is compared with hubs only.
-MATCHES = 32
-HUBS = 32
+#: A run with more matches per member than this is compared with hubs first.
+MATCHES = 16
+HUBS = 4
+#: Passes with hubs, before the one that compares all that is left.
+HUB_PASSES = 3
 
 
 def text_node(text: Column) -> Column:
@@ -221,46 +223,59 @@ def shingle_sets(column: pa.Array, words: int) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int64()), pa.array(np.concatenate(parts)))
 
 
-def _matches(fp: np.ndarray, node: np.ndarray, probe: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes of one run within budget; in a dense run those with hubs, which are spread over the run."""
+def _matches(fp: np.ndarray, node: np.ndarray, group: np.ndarray, probe: np.ndarray, budget: int, whole: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of nodes of one run within budget and of different groups, and whether these are all. In a dense run, unless
+    `whole` is asked for, pairs with a few hubs only: the least nodes outside the largest group."""
     rows, a, b, found = np.flatnonzero(probe), [], [], 0
     block = max(1, PAIRS // len(fp))
     for at in range(0, len(rows), block):
         own = rows[at : at + block]
-        i, j = np.nonzero((np.bitwise_count(fp[own, None] ^ fp[None, :]) <= budget) & (node[own, None] < node[None, :]))
+        near = (np.bitwise_count(fp[own, None] ^ fp[None, :]) <= budget) & (group[own, None] != group[None, :])
+        i, j = np.nonzero(near & (node[own, None] < node[None, :]))
         a.append(node[own[i]])
         b.append(node[j])
         found += len(i)
-        if found > MATCHES * len(fp):
-            hubs = rows[np.unique(np.linspace(0, len(rows) - 1, HUBS).astype(np.int64))]
-            i, j = np.nonzero((np.bitwise_count(fp[hubs, None] ^ fp[None, :]) <= budget) & (node[hubs, None] != node[None, :]))
-            return np.minimum(node[hubs[i]], node[j]), np.maximum(node[hubs[i]], node[j])
-    return np.concatenate(a), np.concatenate(b)
+        if found > MATCHES * len(fp) and not whole:
+            names, sizes = np.unique(group[rows], return_counts=True)
+            outside = rows if sizes.max() == 1 else rows[group[rows] != names[sizes.argmax()]]
+            hubs = outside[np.argsort(node[outside], kind="stable")[:HUBS]]
+            i, j = np.nonzero((np.bitwise_count(fp[hubs, None] ^ fp[None, :]) <= budget) & (group[hubs, None] != group[None, :]))
+            return np.minimum(node[hubs[i]], node[j]), np.maximum(node[hubs[i]], node[j]), False
+    return np.concatenate(a), np.concatenate(b), True
 
 
-def candidate_pairs(nodes: DataFrame, budget: int) -> DataFrame:
-    """(a, b), a < b, repeats included: nodes (columns fp, node) whose fingerprints are within budget."""
+def candidate_pairs(nodes: DataFrame, budget: int, whole: bool) -> DataFrame:
+    """(a, b), a < b: nodes (columns fp, node, group) of different groups whose fingerprints are within budget. A row with a = b marks
+    a node of a dense run, whose pairs aren't all there."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, node = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            fp, node, group = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for at in range(0, len(fp), 1 << 14):
-                key, of = keys_batch(fp[at : at + (1 << 14)], budget)
-                yield pa.record_batch([pa.array((key >> np.uint64(1)).view(np.int64)), pa.array((key & np.uint64(1)).astype(bool)), pa.array(of.view(np.int64)), pa.array(np.resize(node[at : at + (1 << 14)], len(of)))], names=["run", "probe", "fp", "node"])
+                to = at + (1 << 14)
+                key, of = keys_batch(fp[at:to], budget)
+                yield pa.record_batch([pa.array((key >> np.uint64(1)).view(np.int64)), pa.array((key & np.uint64(1)).astype(bool)), pa.array(of.view(np.int64)), pa.array(np.resize(node[at:to], len(of))), pa.array(np.resize(group[at:to], len(of)))], names=["run", "probe", "fp", "node", "group"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-
-        def out(run: np.ndarray, probe: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-            begins = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
-            ends = np.append(begins[1:], len(run))
-            got = [_matches(fp[x:y], node[x:y], probe[x:y], budget) for x, y in zip(begins.tolist(), ends.tolist(), strict=True) if y - x > 2 and probe[x:y].any()]
+        held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+        def out(run: np.ndarray, probe: np.ndarray, fp: np.ndarray, node: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(run):
+                return
+            begins = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            ends, got = np.append(begins[1:], len(run)), []
+            for x, y in zip(begins.tolist(), ends.tolist(), strict=True):
+                if y - x > 2 and probe[x:y].any():
+                    a, b, all_there = _matches(fp[x:y], node[x:y], group[x:y], probe[x:y], budget, whole)
+                    got.append((a, b))
+                    if not all_there:
+                        got.append((node[x:y], node[x:y]))
             if got:
                 pairs = np.unique(np.stack([np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])]), axis=1)
                 yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
         for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()]
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy(), batch.column(4).to_numpy()]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             if len(held[0]) < 1 << 17:
                 continue
@@ -269,38 +284,17 @@ def candidate_pairs(nodes: DataFrame, budget: int) -> DataFrame:
             held = [x[cut:] for x in held]
         yield from out(*held)
 
-    rows = nodes.select("fp", "node").mapInArrow(expand, "run long, probe boolean, fp long, node long")
+    rows = nodes.select("fp", "node", "group").mapInArrow(expand, "run long, probe boolean, fp long, node long, group long")
     return rows.repartition("run").sortWithinPartitions("run").mapInArrow(join, "a long, b long").distinct()
 
 
-def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 7) -> DataFrame:
-    """doc_id, node, component_id: classes of texts linked by a shingle similarity (Jaccard) of at least `similarity`.
-
-    Candidates are texts whose fingerprints over distinct words differ in at most `budget` bits; each candidate pair is
-    then compared by its `words`-word shingles, so no pair below `similarity` is ever linked.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(word_set_fingerprints(b.column(2)).view(np.int64))], names=["doc_id", "node", "fp"])
-
-    d = docs.select("doc_id", text_node(F.col("text")).alias("node"), "text")
-    prints = stored(d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, node long, fp long"), "word-fingerprints")
-    nodes = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"))
-    pairs = stored(candidate_pairs(nodes, budget), "candidates")
-    free_shuffles(docs.sparkSession)
+def _similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b.column(0), shingle_sets(b.column(1), words).cast(pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    asked = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
-    texts = d.join(asked, d["node"] == asked["n"], "left_semi").groupBy("node").agg(F.max("text").alias("text"))
-    shingles = texts.mapInArrow(sets, "node long, shingles array<long>")
-    shingles = stored(shingles, "shingles")
-    left = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
@@ -311,8 +305,44 @@ def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.
                 keep[i] = whole == 0 or shared >= similarity * whole - 1e-9
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    found = components(both.mapInArrow(compare, "a long, b long"))
-    free_shuffles(docs.sparkSession)
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    # one document of each text: thousands of copies aren't sent
+    chosen = nodes.join(asked, "node", "left_semi").select(F.col("node").alias("n"), "least")
+    own = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["least"]) & (texts["node"] == chosen["n"]), "left_semi")
+    own = own.groupBy("node").agg(F.max("text").alias("text")).mapInArrow(sets, "node long, shingles array<long>")
+    own = stored(own, "shingles")
+    left = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 7) -> DataFrame:
+    """doc_id, node, component_id: classes of texts linked by a shingle similarity (Jaccard) of at least `similarity`.
+
+    Candidates are texts whose fingerprints over distinct words differ in at most `budget` bits; each candidate pair is
+    then compared by its `words`-word shingles, so no pair below `similarity` is ever linked. Groups of thousands of near
+    copies are first compared with a few of their own; what that leaves apart is compared in later passes, the last of
+    which takes all pairs that are left, so no class is missed for a group's size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(word_set_fingerprints(b.column(2)).view(np.int64))], names=["doc_id", "node", "fp"])
+
+    d = docs.select("doc_id", text_node(F.col("text")).alias("node"), "text")
+    prints = stored(d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, node long, fp long"), "word-fingerprints")
+    nodes = stored(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "texts")
+    links, found, rows = None, None, nodes.select("fp", "node", F.col("node").alias("group"))
+    for n in range(HUB_PASSES + 1):
+        pairs = stored(candidate_pairs(rows, budget, n == HUB_PASSES), "candidates")
+        own = stored(_similar(pairs.where("a < b"), d, nodes, words, similarity), "links")
+        links = own if links is None else links.union(own)
+        found = components(links)
+        dense = pairs.where("a = b").select(F.col("a").alias("node"))
+        if not dense.limit(1).count():
+            break
+        # again, among the nodes of dense runs, for pairs that no link joins yet
+        rows = nodes.join(dense, "node").join(found, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("group"))
     named = nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = stored(named, "text-classes")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))

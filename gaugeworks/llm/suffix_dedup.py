@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import free_shuffles, stored
+from gaugeworks.llm.common import stored
 from gaugeworks.llm.words import pieces, xxh64
 
 SEED_BYTES = 24
@@ -96,24 +96,33 @@ def part_column(doc: Column, parts: int) -> Column:
 
 def _groups(which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(value, rows with it), rows in order."""
+    if not len(which):
+        return
     order = np.argsort(which, kind="stable")
-    begins = np.flatnonzero(np.concatenate([[True], which[order][1:] != which[order][:-1]])) if len(which) else []
+    begins = np.flatnonzero(np.concatenate([[True], which[order][1:] != which[order][:-1]]))
     for a, b in zip(begins, [*begins[1:], len(order)], strict=True):
         yield int(which[order[a]]), order[a:b]
 
 
 def _packed(rows: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
-    """One row per bucket: the arrays' bytes, each behind its length."""
-    blobs = [b"".join(len(x := a.tobytes()).to_bytes(8, "little") + x for a in arrays) for _, arrays in rows]
+    """One row per bucket: the arrays' bytes, each behind its two lengths, compressed."""
+    blobs = []
+    for _, arrays in rows:
+        parts = []
+        for a in arrays:
+            whole = a.tobytes()
+            small = pa.compress(whole, codec="zstd", asbytes=True) if whole else b""
+            parts += [len(whole).to_bytes(8, "little"), len(small).to_bytes(8, "little"), small]
+        blobs.append(b"".join(parts))
     return pa.record_batch([pa.array([k for k, _ in rows], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
 def _unpacked(blob: bytes) -> list[bytes]:
     out, at = [], 0
     while at < len(blob):
-        n = int.from_bytes(blob[at : at + 8], "little")
-        out.append(blob[at + 8 : at + 8 + n])
-        at += 8 + n
+        whole, small = int.from_bytes(blob[at : at + 8], "little"), int.from_bytes(blob[at + 8 : at + 16], "little")
+        out.append(pa.decompress(blob[at + 16 : at + 16 + small], decompressed_size=whole, codec="zstd", asbytes=True) if small else b"")
+        at += 16 + small
     return out
 
 
@@ -340,7 +349,6 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     blob = "bucket long, blob binary"
     found = d.select("doc", "text").mapInArrow(seen, blob).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, blob)
     found = stored(found, "minimizers")
-    free_shuffles(spark)
 
     texts = d.select(part_column(F.col("doc"), parts).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc_id", "doc", "version", "text")
 
@@ -408,7 +416,6 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
 
     spans = beside(found).mapInArrow(send, blob).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decide, blob)
     spans = stored(spans, "spans")
-    free_shuffles(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}

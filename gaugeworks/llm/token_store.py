@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import drop_scratch
+from gaugeworks.llm.common import drop_scratch, files_freed
 
 WINDOW, LEAST, MOST, CUT_BITS = 16, 32, 2048, 8
 #: Units whose ids a worker remembers.
@@ -283,7 +283,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     rows = f"kind int, key binary, doc_id {id_kind}, n long, chunks binary, body binary"
     # each task sends a chunk once, so even a chunk of every document comes as often as there are tasks
     first = d.mapInArrow(encode, rows).repartition("key").mapInArrow(once, rows)
-    first.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/first")
+    with files_freed(spark):
+        first.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/first")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, slot, start, roots = TaskContext.get().partitionId(), 0, 0, []
@@ -304,7 +305,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     ordered = recipes.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "chunks")
     numbered = ordered.mapInArrow(number, f"kind int, shard int, slot long, doc_id {id_kind}, start long, n_tokens long, chunks binary, sizes binary, root binary")
-    numbered.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/store")
+    with files_freed(spark):
+        numbered.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/store")
     drop_scratch(spark, f"{path}/first/kind=0")
 
 

@@ -26,6 +26,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.common import files_freed
+
 READ_BYTES, GAP = 8 << 20, 64 << 10
 #: An archive is closed at this size and the next begun.
 ARCHIVE_BYTES = 256 << 20
@@ -102,7 +104,8 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = 1000, level
             out.close()
 
     schema = INDEX.format(kind=kind)
-    p.mapInArrow(write, schema).write.option("compression", "zstd").parquet(f"{path}/index")
+    with files_freed(spark):
+        p.mapInArrow(write, schema).write.option("compression", "zstd").parquet(f"{path}/index")
     return read_index(spark, path, kind)
 
 
@@ -131,9 +134,11 @@ def read_records(selected: DataFrame, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pa.fs.FileSystem.from_uri(f"{path}/archives")
         for b in batches:
+            if not b.num_rows:
+                continue
             archive = np.array(b.column(0).to_pylist(), object)
             offset, length, digest = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist()
-            begins = np.flatnonzero(np.concatenate([[True], archive[1:] != archive[:-1]])) if len(archive) else []
+            begins = np.flatnonzero(np.concatenate([[True], archive[1:] != archive[:-1]]))
             for x, y in zip(begins, [*begins[1:], len(archive)], strict=True):
                 with fs.open_input_file(f"{folder}/{archive[x]}") as f:
                     for i, j in ranges(offset[x:y], length[x:y]):

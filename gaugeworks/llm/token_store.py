@@ -36,7 +36,7 @@ from gaugeworks.llm.common import drop_scratch, files_freed
 
 WINDOW, LEAST, MOST, CUT_BITS = 16, 32, 2048, 8
 #: Units whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Letters before white space, common punctuation or the end, with the space before them; other runs likewise; white
 #: space but for its last character; a single white space or what ends a text.
 UNIT = re.compile(r" ?[^\W\d_]+(?=[\s.,;:!?#$%&*|<>\"()]|$)| ?\S+|\s+(?=\s\S)|\s+")

@@ -71,3 +71,45 @@ def column_changes(a: DataFrame, b: DataFrame, key: str, columns: list[str]) ->
 def micro_batches(rows: DataFrame, order: str, size: int) -> DataFrame:
     """batch: positions in blocks of `size`, for gapless 0-based positions in `order`."""
     return rows.withColumn("batch", F.expr(f"{order} div {size}"))
+
+
+def render_items(rows: DataFrame, convention: str, suffixes: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(items, violations) of test rows: index and split, one user turn that ends with the convention's suffix after the question."""
+    suffix = suffixes[convention]
+    turn, info = F.element_at("prompt", 1), F.col("extra_info")
+    shaped = (F.size("prompt") == 1) & (turn["role"] == "user")
+    asked = F.coalesce(suffix_rewrite(turn["content"], suffix, "") == info["question"], F.lit(False))
+    ok = F.coalesce((info["split"] == "test") & shaped & asked & info["index"].isNotNull(), F.lit(False))
+    items = rows.where(ok).select(info["index"].alias("id"), turn["content"].alias("prompt"), F.col("reward_model.ground_truth").cast("string").alias("ground_truth"), F.struct("difficulty_bin", "frozen_baseline_solve_rate").alias("meta"))
+    return items, rows.where(~ok).select(info["index"].alias("id"))
+
+
+def seeded_order(values: list, seed: int | str) -> list:
+    """A copy in the order of a Mersenne Twister shuffle; for lists of a sample's size."""
+    import random
+
+    out = list(values)
+    random.Random(seed).shuffle(out)
+    return out
+
+
+def exact_srs(rows: DataFrame, stratum: str, row_id: str, cap: int, seed: str, state: str) -> DataFrame:
+    """Samples of at most cap rows per stratum by a Mersenne Twister seeded with seed:state:stratum over ids in text order.
+
+    The draw depends only on a stratum's size, so positions are drawn on the driver from the sizes (one row per stratum),
+    and rows are numbered by ranks per slice; no stratum is gathered."""
+    import random
+
+    from pyspark.sql import Window
+
+    key = F.col(row_id).cast("string")
+    keyed = rows.withColumn("_key", key).withColumn("_slice", F.left(key, F.lit(3)))
+    sizes = keyed.groupBy(stratum, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(stratum).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(stratum, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    counts = sizes.groupBy(stratum).agg(F.sum("_n").alias("n")).collect()
+    drawn = [(r[0], at, n) for r in counts for n, at in enumerate(random.Random(f"{seed}:{state}:{r[0]}").sample(range(r["n"]), min(cap, r["n"])))]
+    picks = rows.sparkSession.createDataFrame(drawn, f"_h {rows.schema[stratum].dataType.simpleString()}, _at long, draw int")
+    place = F.row_number().over(Window.partitionBy(stratum, "_slice").orderBy("_key")) - 1
+    ranked = keyed.withColumn("_place", place).join(starts, [stratum, "_slice"]).withColumn("_place", F.col("_place") + F.col("_start"))
+    return ranked.join(picks, (F.col(stratum) == F.col("_h")) & (F.col("_place") == F.col("_at"))).select(*rows.columns, "draw")

@@ -132,3 +132,18 @@ def require_empty(found: DataFrame, shown: int = 5) -> None:
     counts = {r["gate"]: r["count"] for r in found.groupBy("gate").count().collect()}  # one row per gate
     if counts:
         raise GateError(f"{counts}; for example {[tuple(r) for r in found.limit(shown).collect()]}")
+
+
+def locked_unchanged(locks: DataFrame, final: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Fields of locked rows that the final rows lack or have changed: one violation per row and field."""
+    now = final.select(F.col(key).alias("_k"), *[F.col(f).alias(f"_{f}") for f in fields])
+    both = locks.join(now, F.col(key) == F.col("_k"), "left")
+    changed = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f)) for f in fields]))
+    found = both.select(F.col(key).cast("string").alias("_id"), F.explode(F.when(F.col("_k").isNull(), F.array(F.lit("row"))).otherwise(changed)).alias("_f"))
+    return _said(found, "locked", F.concat_ws(": ", "_id", "_f"))
+
+
+def contained(paths: DataFrame, root: str, column: str = "path") -> DataFrame:
+    """Paths that leave a root folder or name a parent."""
+    inside = F.startswith(F.col(column), F.lit(root.rstrip("/") + "/")) & ~F.col(column).rlike(r"(^|/)\.\.(/|$)")
+    return predicate(paths, "outside", inside, F.col(column))

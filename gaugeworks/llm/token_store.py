@@ -210,6 +210,15 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _times_by(power: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_times(power, b) for one power: the product is linear in b, so a table for each byte of b does."""
+    values = np.arange(256, dtype=np.uint32)
+    out = np.zeros_like(b)
+    for shift in np.array([0, 8, 16, 24], np.uint32):
+        out ^= _times(np.broadcast_to(power, 256), values << shift)[(b >> shift) & np.uint32(255)]
+    return out
+
+
 def crc_before(crc: np.ndarray, words: np.ndarray) -> np.ndarray:
     """What a CRC-32 contributes to that of a longer text, with so many 4-byte words after its own part."""
     out, left = crc.astype(np.uint32), words.astype(np.int64)
@@ -218,7 +227,7 @@ def crc_before(crc: np.ndarray, words: np.ndarray) -> np.ndarray:
         power = _times(power, power)  # x^32: one word
     while left.any():
         odd = np.flatnonzero(left & 1)
-        out[odd] = _times(np.broadcast_to(power, len(odd)), out[odd])
+        out[odd] = _times_by(power, out[odd])
         power, left = _times(power, power), left >> 1
     return out
 

@@ -180,13 +180,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFra
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near-duplicate texts: the same filter over fingerprints of distinct words finds candidates, whose word shingles are then compared.
+# Near-duplicate texts: texts that share one of their rarest word shingles are candidates, whose shingles are then compared.
 
 #: A run with more matches per member than this is compared with hubs first.
 MATCHES = 16
 HUBS = 4
 #: Passes with hubs, before the one that compares all that is left.
 HUB_PASSES = 3
+#: Documents whose shingles are counted, to know common ones, and how many of these are told apart.
+COUNTED, COMMON = 20_000, 1 << 16
+#: Places of a run that are compared at once, and pairs that are held: a worker keeps several arrays of that length.
+PLACES = 1 << 16
 
 
 def text_node(text: Column) -> Column:
@@ -194,20 +198,6 @@ def text_node(text: Column) -> Column:
     return F.conv(F.left(F.md5(F.coalesce(text, F.lit(""))), F.lit(15)), 16, 10).cast("long")
 
 
-def word_set_fingerprints(column: pa.Array) -> np.ndarray:
-    """Fingerprints over each text's distinct words: few bits change where few words do, whatever shingles they are in."""
-    out = np.zeros(len(column), np.uint64)
-    for at, to, w in word_pieces(column, lower=True):
-        h, of = w.hashes(42), w.of()
-        order = np.lexsort((h, of))
-        h, of = h[order], of[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-        if len(h):
-            out[at:to] = _majority(h[new], np.bincount(of[new], minlength=to - at))
-    return out
-
-
 def shingle_sets(column: pa.Array, words: int) -> pa.Array:
     """Each text's distinct shingle hashes, sorted."""
     parts, sizes = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
@@ -223,68 +213,144 @@ def shingle_sets(column: pa.Array, words: int) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int64()), pa.array(np.concatenate(parts)))
 
 
-def _matches(fp: np.ndarray, node: np.ndarray, group: np.ndarray, probe: np.ndarray, budget: int, whole: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of nodes of one run within budget and of different groups, and whether these are all. In a dense run, unless
-    `whole` is asked for, pairs with a few hubs only: the least nodes outside the largest group."""
-    rows, a, b, found = np.flatnonzero(probe), [], [], 0
-    block = max(1, PAIRS // len(fp))
-    for at in range(0, len(rows), block):
-        own = rows[at : at + block]
-        near = (np.bitwise_count(fp[own, None] ^ fp[None, :]) <= budget) & (group[own, None] != group[None, :])
-        i, j = np.nonzero(near & (node[own, None] < node[None, :]))
-        a.append(node[own[i]])
-        b.append(node[j])
+def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """The shingles that most of about COUNTED documents hold, by rising number of documents. Only an order follows from them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                yield pa.record_batch([shingle_sets(b.column(0).slice(at, 64), words).values], names=["shingle"])
+
+    every = max(1, docs.count() // COUNTED)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 2")
+    rows = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
+    return np.array([r.shingle for r in reversed(rows)], np.int64)
+
+
+def prefixes(column: pa.Array, words: int, similarity: float, common: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Each text's number of distinct shingles, and the first of them in an order that all texts share (common ones last).
+    Sets with a Jaccard similarity of at least `similarity` share one of these. A text without shingles has a 0."""
+    sets = shingle_sets(column, words)
+    ends = sets.offsets.to_numpy()
+    h, size = sets.values.to_numpy(), np.diff(ends)
+    by_hash = np.argsort(common)
+    rank = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h, sorter=by_hash), len(common) - 1)
+        known = common[by_hash[at]] == h
+        rank[known] = by_hash[at[known]] + 1
+    h = h[np.lexsort((h, rank, np.repeat(np.arange(len(size)), size)))]
+    n = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
+    begins = np.cumsum(n) - n
+    own = np.repeat(ends[:-1] - begins, n) + np.arange(n.sum())
+    first = np.append(h, 0)[np.where(np.repeat(size == 0, n), len(h), own)]
+    return size, pa.ListArray.from_arrays(pa.array(np.append(begins, n.sum()), pa.int32()), pa.array(first))
+
+
+def _may(size_a: np.ndarray, place_a: np.ndarray, size_b: np.ndarray, place_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets can still be similar if the shingles at these places are the first that they share."""
+    need = np.ceil(similarity / (1 + similarity) * (size_a + size_b) - 1e-6)
+    return np.minimum(size_a - place_a, size_b - place_b) >= need
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def _matches(node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one run that may be similar and are of different groups. In a dense run, unless `whole` is asked for,
+    pairs with a few hubs only (the least nodes outside the largest group), and each node with itself."""
+
+    def near(rows: np.ndarray) -> np.ndarray:
+        return (group[rows, None] != group[None, :]) & _may(size[rows, None], place[rows, None], size[None, :], place[None, :], similarity)
+
+    block, held, found = max(1, PLACES // len(node)), [], 0
+    for at in range(0, len(node), block):
+        own = np.arange(at, min(at + block, len(node)))
+        i, j = np.nonzero(near(own) & (node[own, None] < node[None, :]))
         found += len(i)
-        if found > MATCHES * len(fp) and not whole:
-            names, sizes = np.unique(group[rows], return_counts=True)
-            outside = rows if sizes.max() == 1 else rows[group[rows] != names[sizes.argmax()]]
+        if whole:
+            yield node[own[i]], node[j]
+        elif found > MATCHES * len(node):
+            names, sizes = np.unique(group, return_counts=True)
+            outside = np.arange(len(node)) if sizes.max() == 1 else np.flatnonzero(group != names[sizes.argmax()])
             hubs = outside[np.argsort(node[outside], kind="stable")[:HUBS]]
-            i, j = np.nonzero((np.bitwise_count(fp[hubs, None] ^ fp[None, :]) <= budget) & (group[hubs, None] != group[None, :]))
-            return np.minimum(node[hubs[i]], node[j]), np.maximum(node[hubs[i]], node[j]), False
-    return np.concatenate(a), np.concatenate(b), True
+            i, j = np.nonzero(near(hubs))
+            yield np.concatenate([node[hubs[i]], node]), np.concatenate([node[j], node])
+            return
+        else:
+            held.append((node[own[i]], node[j]))
+    yield from held
+
+
+def _small_runs(begins: np.ndarray, n: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for many runs of few rows at once: run k has the n[k] rows from begins[k]."""
+    rows = np.repeat(begins - np.cumsum(n) + n, n) + np.arange(n.sum())
+    of, count = np.repeat(begins, n), np.repeat(n, n)
+    cuts = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()), PLACES)).tolist() + [len(rows)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        k = count[lo:hi]
+        x = np.repeat(rows[lo:hi], k)
+        y = np.repeat(of[lo:hi] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        keep = (node[x] < node[y]) & (group[x] != group[y])
+        x, y = x[keep], y[keep]
+        keep = _may(size[x], place[x], size[y], place[y], similarity)
+        yield node[x[keep]], node[y[keep]]
 
 
-def candidate_pairs(nodes: DataFrame, budget: int, whole: bool) -> DataFrame:
-    """(a, b), a < b: nodes (columns fp, node, group) of different groups whose fingerprints are within budget. A row with a = b marks
-    a node of a dense run, whose pairs aren't all there."""
+def candidate_pairs(nodes: DataFrame, similarity: float, whole: bool) -> DataFrame:
+    """(a, b), a < b: nodes (columns node, group, size, prefix) of different groups that share a shingle of their prefixes. A row
+    with a = b marks a node of a dense run, whose pairs aren't all there."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, node, group = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for at in range(0, len(fp), 1 << 14):
-                to = at + (1 << 14)
-                key, of = keys_batch(fp[at:to], budget)
-                yield pa.record_batch([pa.array((key >> np.uint64(1)).view(np.int64)), pa.array((key & np.uint64(1)).astype(bool)), pa.array(of.view(np.int64)), pa.array(np.resize(node[at:to], len(of))), pa.array(np.resize(group[at:to], len(of)))], names=["run", "probe", "fp", "node", "group"])
+            ends = batch.column(3).offsets.to_numpy()
+            n = np.diff(ends)
+            of = np.repeat(np.arange(len(n)), n)
+            first = batch.column(3).values.to_numpy()[ends[0] : ends[-1]]
+            place = (np.arange(len(of)) - np.repeat(ends[:-1] - ends[0], n)).astype(np.int32)
+            node, group, size = (batch.column(i).to_numpy() for i in range(3))
+            for at in range(0, len(of), 1 << 16):
+                part = of[at : at + (1 << 16)]
+                yield pa.record_batch([pa.array(first[at : at + (1 << 16)]), pa.array(node[part]), pa.array(group[part]), pa.array(size[part]), pa.array(place[at : at + (1 << 16)])], names=["run", "node", "group", "size", "place"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32)]
 
-        def out(run: np.ndarray, probe: np.ndarray, fp: np.ndarray, node: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if not len(run):
-                return
+        def found(run: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             begins = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            ends, got = np.append(begins[1:], len(run)), []
-            for x, y in zip(begins.tolist(), ends.tolist(), strict=True):
-                if y - x > 2 and probe[x:y].any():
-                    a, b, all_there = _matches(fp[x:y], node[x:y], group[x:y], probe[x:y], budget, whole)
-                    got.append((a, b))
-                    if not all_there:
-                        got.append((node[x:y], node[x:y]))
-            if got:
-                pairs = np.unique(np.stack([np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])]), axis=1)
-                yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
+            n = np.diff(np.append(begins, len(run)))
+            few = (n > 1) & (n <= 2 * MATCHES + 1)  # can't be dense
+            yield from _small_runs(begins[few], n[few], *columns, similarity)
+            for i in np.flatnonzero(n > max(1, 2 * MATCHES + 1)):
+                yield from _matches(*(x[begins[i] : begins[i] + n[i]] for x in columns), similarity, whole)
+
+        def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            got, total = [], 0
+            for pair in found(*rows) if len(rows[0]) else ():
+                got.append(pair)
+                total += len(pair[0])
+                if total > PLACES:
+                    yield _pairs(*map(np.concatenate, zip(*got, strict=True)))
+                    got, total = [], 0
+            if total:
+                yield _pairs(*map(np.concatenate, zip(*got, strict=True)))
+
+        waiting, count = [], 0
         for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy(), batch.column(4).to_numpy()]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if len(held[0]) < 1 << 17:
+            waiting.append([c.to_numpy() for c in batch.columns])
+            count += batch.num_rows
+            if count < 1 << 17:
                 continue
-            cut = int(np.searchsorted(held[0], held[0][-1]))
-            yield from out(*(x[:cut] for x in held))
-            held = [x[cut:] for x in held]
-        yield from out(*held)
+            rows = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last run may go on
+            yield from out([x[:cut] for x in rows])
+            held, waiting, count = [x[cut:] for x in rows], [], 0
+        yield from out([np.concatenate(x) for x in zip(held, *waiting, strict=True)])
 
-    rows = nodes.select("fp", "node", "group").mapInArrow(expand, "run long, probe boolean, fp long, node long, group long")
+    rows = nodes.select("node", "group", "size", "prefix").mapInArrow(expand, "run long, node long, group long, size int, place int")
     return rows.repartition("run").sortWithinPartitions("run").mapInArrow(join, "a long, b long").distinct()
 
 
@@ -293,7 +359,9 @@ def _similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, s
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), shingle_sets(b.column(1), words).cast(pa.list_(pa.int64()))], names=["node", "shingles"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                yield pa.record_batch([part.column(0), shingle_sets(part.column(1), words).cast(pa.list_(pa.int64()))], names=["node", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,25 +384,29 @@ def _similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, s
     return both.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 7) -> DataFrame:
+def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, node, component_id: classes of texts linked by a shingle similarity (Jaccard) of at least `similarity`.
 
-    Candidates are texts whose fingerprints over distinct words differ in at most `budget` bits; each candidate pair is
-    then compared by its `words`-word shingles, so no pair below `similarity` is ever linked. Groups of thousands of near
-    copies are first compared with a few of their own; what that leaves apart is compared in later passes, the last of
-    which takes all pairs that are left, so no class is missed for a group's size.
+    Candidates share one of the first shingles in an order that puts common ones last: as many that two texts with that
+    similarity can't miss each other. Each candidate pair is then compared by all its `words`-word shingles. Groups of
+    thousands of near copies are first compared with a few of their own; what that leaves apart is compared in later
+    passes, the last of which takes all pairs that are left, so no class is missed for a group's size.
     """
+    d = docs.select("doc_id", text_node(F.col("text")).alias("node"), "text")
+    common = common_shingles(d, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(word_set_fingerprints(b.column(2)).view(np.int64))], names=["doc_id", "node", "fp"])
-
-    d = docs.select("doc_id", text_node(F.col("text")).alias("node"), "text")
-    prints = stored(d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, node long, fp long"), "word-fingerprints")
-    nodes = stored(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "texts")
-    links, found, rows = None, None, nodes.select("fp", "node", F.col("node").alias("group"))
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                size, first = prefixes(part.column(2), words, similarity, common)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(size.astype(np.int32)), first], names=["doc_id", "node", "size", "prefix"])
+
+    prints = stored(d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, node long, size int, prefix array<long>"), "prefixes")
+    nodes = stored(prints.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("least")), "texts")
+    links, found, rows = None, None, nodes.select("node", F.col("node").alias("group"), "size", "prefix")
     for n in range(HUB_PASSES + 1):
-        pairs = stored(candidate_pairs(rows, budget, n == HUB_PASSES), "candidates")
+        pairs = stored(candidate_pairs(rows, similarity, n == HUB_PASSES), "candidates")
         own = stored(_similar(pairs.where("a < b"), d, nodes, words, similarity), "links")
         links = own if links is None else links.union(own)
         found = components(links)
@@ -342,7 +414,7 @@ def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.
         if not dense.limit(1).count():
             break
         # again, among the nodes of dense runs, for pairs that no link joins yet
-        rows = nodes.join(dense, "node").join(found, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("group"))
+        rows = nodes.join(dense, "node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "size", "prefix")
     named = nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = stored(named, "text-classes")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -350,9 +422,9 @@ def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.
     return prints.join(classes, prints["node"] == classes["n"]).select("doc_id", "node", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 7) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with the smallest doc_id of each class of near-duplicate texts, with all of their columns."""
-    classes = near_duplicate_texts(docs, words, similarity, budget)
+    classes = near_duplicate_texts(docs, words, similarity)
     # a class's smallest doc_id, and one of the texts under it; null doc_ids count as larger than all others
     chosen = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("one")).select(F.col("one.doc_id").alias("_id"), F.col("one.node").alias("_node"))
     rows = docs.withColumn("_text_node", text_node(F.col("text")))

@@ -128,6 +128,25 @@ def test_near_texts_equal_all_pairs(spark, documents, monkeypatch, matches):
     assert got == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("matches", [16, 0])
+def test_near_texts_with_passages_added_or_cut(spark, documents, monkeypatch, matches):
+    """Many words change at once, so that fingerprints over words differ in many bits; a frequent tail is shared by all."""
+    monkeypatch.setattr(simhash, "MATCHES", matches)
+    tail = [f"t{i}" for i in range(30)]
+    texts = []
+    for i in range(40):
+        own = [f"w{R.randrange(3000)}" for _ in range(R.choice([60, 300, 900]))] + tail
+        other = [f"w{R.randrange(3000)}" for _ in range(len(own))]
+        for share in (0.1, 0.2, 0.24, 0.3):
+            texts.append(" ".join(own + other[: int(share * len(own))]))
+            texts.append(" ".join(own[int(share * len(own) * 0.8) :]))
+        texts.append(" ".join(own))
+    want = classes(len(texts), lambda i, j: i // 9 == j // 9 and jaccard(texts[i], texts[j]))
+    assert len(set(want)) < len(texts) / 2
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_texts(documents(texts)).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_keep_one(spark, documents):
     t = " ".join(f"w{i}" for i in range(100))
     d = documents([t, t, t.replace("w50", "z"), "other text here that is not alike at all", "other"], ids=[5, 3, 4, 9, 9])

@@ -113,3 +113,24 @@ def exact_srs(rows: DataFrame, stratum: str, row_id: str, cap: int, seed: str, s
     place = F.row_number().over(Window.partitionBy(stratum, "_slice").orderBy("_key")) - 1
     ranked = keyed.withColumn("_place", place).join(starts, [stratum, "_slice"]).withColumn("_place", F.col("_place") + F.col("_start"))
     return ranked.join(picks, (F.col(stratum) == F.col("_h")) & (F.col("_place") == F.col("_at"))).select(*rows.columns, "draw")
+
+
+def row_receipts(rows: DataFrame, part: str, key: str) -> DataFrame:
+    """name, sha256, rows: a receipt per part over all of its keys (whole numbers; equal keys count as often as they occur).
+
+    Digests of up to 4,096 successive key values are hashed in order, then those of up to 4,096 such ranges, then those
+    of a part, so no list grows with the rows of a part. Every range's number is hashed with its digest.
+    """
+    k = F.col(key).cast("long")
+    level = rows.select(F.col(part).alias("name"), k.alias("at"), F.coalesce(k.cast("string"), F.lit("null")).alias("own"))
+    level = level.groupBy("name", "at").agg(F.sha2(F.first("own"), 256).alias("h"), F.count(F.lit(1)).alias("rows"))
+    level = level.withColumn("h", F.concat_ws("x", "h", "rows"))
+    for _ in range(2):
+        level = _ranges(level.withColumn("to", F.shiftright("at", 12)), ["name", "to"]).withColumnRenamed("to", "at")
+    return _ranges(level, ["name"]).select("name", F.col("h").alias("sha256"), "rows")
+
+
+def _ranges(level: DataFrame, by: list[str]) -> DataFrame:
+    own = F.struct("at", F.concat_ws(":", F.col("at").cast("string"), "h").alias("h"))
+    own = level.groupBy(*by).agg(F.array_sort(F.collect_list(own)).alias("r"), F.sum("rows").alias("rows"))
+    return own.select(*by, F.sha2(F.array_join(F.transform("r", lambda x: x["h"]), ","), 256).alias("h"), "rows")

@@ -386,12 +386,18 @@ def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("receipt_hashes", "SELECT o_orderpriority AS name, sha256(string_agg(sha256(CAST(o_orderkey AS VARCHAR)), '' ORDER BY o_orderkey)) AS sha256, count(*) AS rows FROM (SELECT * FROM orders WHERE o_orderkey % 50 = 0) GROUP BY 1", fixtures=False)
 def receipt_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A receipt per part of a small manifest: digests of its rows in order."""
+    """A receipt per part of a small manifest (every 50th order): digests of its rows in order. receipt_hashes_whole has all."""
     rows = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select("o_orderpriority", "o_orderkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("h"))
     own = rows.groupBy(F.col("o_orderpriority").alias("name")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "h"))).alias("r"), F.count(F.lit(1)).alias("rows"))
     return own.select("name", F.sha2(F.array_join(F.transform("r", lambda x: x["h"]), ""), 256).alias("sha256"), "rows")
 
 
+@query("receipt_hashes_whole")
+def receipt_hashes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A receipt per priority over all orders."""
+    return builders.row_receipts(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey")
+
+
 # events
 
 

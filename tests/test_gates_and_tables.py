@@ -133,3 +133,31 @@ def test_symbolic_readers(spark):
     r, g = F.col("r"), F.col("g")
     got = d.select(symbolic.math_strict(r, g), symbolic.math_lenient(r, g), symbolic.math_hashes_strict(r, g)).collect()
     assert [tuple(x) for x in got] == [(True, True, False), (False, False, False), (False, False, True), (False, True, False)]
+
+
+def test_receipts_cover_all_orders(spark, data):
+    """Against hashes put together row by row, and a change in any one order changes its part's receipt."""
+    import hashlib
+    from itertools import groupby
+
+    from gaugeworks import plans
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def receipt(keys):
+        level = [(k, f"{sha(str(k))}x{len(list(g))}") for k, g in groupby(sorted(keys))]
+        for _ in range(2):
+            level = [(to, sha(",".join(f"{k}:{h}" for k, h in g))) for to, g in groupby(level, lambda x: x[0] >> 12)]
+        return sha(",".join(f"{k}:{h}" for k, h in level)), len(keys)
+
+    orders = spark.read.parquet(f"{data}/orders.parquet").select("o_orderpriority", "o_orderkey")
+    keys = {}
+    for p, k in orders.collect():
+        keys.setdefault(p, []).append(k)
+    got = {r.name: (r.sha256, r.rows) for r in plans.QUERIES["receipt_hashes_whole"](spark, data).collect()}
+    assert got == {p: receipt(x) for p, x in keys.items()}
+    odd = [("a", x) for x in (-5000, -1, 0, 0, 7, 1 << 25, (1 << 25) + 1)]
+    other = [[*odd[:i], ("a", odd[i][1] + 50), *odd[i + 1 :]] for i in range(len(odd))] + [odd[:2] + odd[3:]]
+    found = [builders.row_receipts(spark.createDataFrame(x, "p string, k long"), "p", "k").first() for x in [odd, *other]]
+    assert (found[0].sha256, found[0].rows) == receipt([k for _, k in odd])
+    assert all(r.sha256 != found[0].sha256 for r in found[1:])

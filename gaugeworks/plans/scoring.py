@@ -293,7 +293,7 @@ def mcnemar_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of a cell are bounded by its evaluation set: blocks of 500 ids."""
     pairs = _pairs(spark, sf_dir).withColumn("block", F.expr("id div 500")).withColumn("position", F.col("id")).withColumn("d", F.col("r") - F.col("b"))
-    return contrasts.bootstrap(pairs, ["request", "block"], "d", replicates=2000)
+    return contrasts.bootstrap(pairs, ["request", "block"], "d")
 
 
 @query("readout_gap", JUDGED + """, g AS (SELECT id, request, min_by(st::INT - le::INT, sample) FILTER (training = 'boxed') AS b, min_by(st::INT - le::INT, sample) FILTER (training = 'hash') AS r FROM judged GROUP BY id, request

@@ -141,3 +141,21 @@ def test_bootstrap_indices(spark):
     d = spark.createDataFrame([("c", i, i % 2) for i in range(500)], "cell string, position long, v int")
     r = contrasts.bootstrap(d, ["cell"], "v", replicates=1000).first()
     assert r.mean == 0.5 and 0.44 < r.ci_low < 0.48 and 0.52 < r.ci_high < 0.56
+
+
+def test_bootstrap_query_takes_all_replicates(spark, data):
+    """Every cell's interval is that of 20,000 replicates."""
+    import numpy as np
+
+    from gaugeworks.plans.scoring import _pairs
+
+    cells = {}
+    for r in _pairs(spark, data).collect():
+        cells.setdefault((r.request, r.id // 500), []).append((r.id, r.r - r.b))
+    got = plans.QUERIES["bootstrap_ci"](spark, data).collect()
+    assert {(r.request, r.block) for r in got} == set(cells)
+    for r in got:
+        x = np.array([d for _, d in sorted(cells[r.request, r.block])], float)
+        rng = np.random.Generator(np.random.PCG64(20260909))
+        means = np.concatenate([x[rng.integers(0, len(x), size=(500, len(x)), dtype=np.int32)].mean(axis=1) for _ in range(40)])
+        assert (r.ci_low, r.ci_high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-12)

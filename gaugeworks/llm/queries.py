@@ -30,10 +30,13 @@ def tokenizer_path() -> str:
 
 
 def stored_tokens(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Writes the token store of docs to the shared folder and reads it back."""
-    path = scratch_path(spark, "tokens")
+    """Writes the token store of docs to the shared folder and reads it back, every shard against the manifest."""
+    path, id_kind = scratch_path(spark, "tokens"), docs.schema["doc_id"].dataType.simpleString()
     token_store.write_store(docs, path, tokenizer_path(), END_ID)
-    return token_store.read_store(spark, path, docs.schema["doc_id"].dataType.simpleString())
+    wrong = [r.shard for r in token_store.verify_manifest(spark, path, id_kind).where("NOT ok").limit(10).collect()]
+    if wrong:
+        raise ValueError(f"shards {wrong} of the token store don't match the manifest")
+    return token_store.read_store(spark, path, id_kind)
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -63,6 +64,19 @@ def test_round_trip_and_manifest(spark, documents, library):
         token_store.read_store(spark, bad).collect()
 
 
+def test_query_finds_lost_files(spark, documents, monkeypatch):
+    """A file of recipes that is lost after the store was written is an error, not fewer documents."""
+    write = token_store.write_store
+
+    def lossy(docs, path, *more):
+        write(docs, path, *more)
+        next(Path(path.removeprefix("file://")).glob("store/kind=0/*.parquet")).unlink()
+
+    monkeypatch.setattr(token_store, "write_store", lossy)
+    with pytest.raises(ValueError, match="manifest"):
+        queries.stored_tokens(spark, documents([f"text {i}" for i in range(40)])).collect()
+
+
 def test_repeated_and_null_ids(spark, documents, library):
     d = documents(["b", "a", "a", None], ids=[4, 4, None, 2])
     path = scratch_path(spark, "test")

@@ -3,7 +3,7 @@
 A fingerprint is cut into budget + 1 segments on a ring. If two fingerprints differ in at most `budget` bits, some
 segment starts a chain in which the first l segments differ in at most l - 1 bits, for every l. The first two segments of
 a chain are the join key: equal in the first, within one bit in the second (all such variants are written on one side).
-Runs of equal keys stream past in sorted order; candidates that go on along the chain get the full Hamming check.
+Runs of equal keys stream past in sorted order; the chain ends there: all candidates get the full Hamming check.
 Runs with many candidates are searched breadth-first, so a group of n near copies gives n - 1 links, not all its pairs.
 
 Equal fingerprints collapse before the join, and classes are the connected components of the links.

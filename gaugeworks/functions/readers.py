@@ -6,6 +6,8 @@ purpose. "No answer" is null from readers and false from comparisons, never null
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -19,12 +21,24 @@ HASH_ANY = r"(?Ud)####\s*(.+)"
 HASH_LINE = r"(?U)####[^\S\n]*([^\n]*)"
 FLAT_BOX = r"\\boxed\{([^{}]*)\}"
 FLEXIBLE = r"-?[0-9.,]+"
-FLOAT = r"(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$"
+FLOAT = r"(?i)^[+-]?(?:(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|nan|inf|infinity)$"
 BOX = "\\boxed{"
 TAIL = 300
 TOLERANCE = 1e-3
 
 
+#: Decimal digits beyond ASCII, and their values.
+DIGITS = "".join(chr(i) for i in range(128, sys.maxunicode + 1) if unicodedata.decimal(chr(i), None) is not None)
+VALUES = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
+
+
+def once(values: list[Column], use: Callable[..., Column]) -> Column:
+    """use(*values) with each value computed once a row, however often `use` names it: a projection's expressions would be
+    copied to wherever they are named."""
+    bound = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.get(F.transform(bound, lambda x: use(*[x[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
 def none_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -132,16 +146,26 @@ def last_number(text: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    """The value of a text that is a decimal number as a whole, else null."""
-    bare = strip(c)
-    return F.when(bare.rlike(FLOAT), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
+    """The value of a text that is a number as a whole (nan and infinity are), else null."""
+
+    def value(bare: Column) -> Column:
+        plain = F.replace(F.when(bare.rlike(r"[^\x00-\x7F]"), F.translate(bare, DIGITS, VALUES)).otherwise(bare), F.lit("_"), F.lit(""))
+        return F.when(bare.rlike("(?U)" + FLOAT), F.regexp_replace(plain, "(?i)inf(inity)?", "Infinity").try_cast("double"))
+
+    return once([strip(c)], value)
 
 
 def numeric_equal(a: Column, b: Column) -> Column:
-    """Numbers within an absolute tolerance, other texts by equality after trimming; false if either is none."""
-    x, y = number(a), number(b)
-    both = x.isNotNull() & y.isNotNull()
-    return F.coalesce(F.when(both, F.abs(x - y) < TOLERANCE).otherwise(strip(a) == strip(b)), F.lit(False))
+    """Numbers within an absolute tolerance, other texts by equality after trimming; false if either is none. Nothing is
+    within a tolerance of nan or infinity."""
+
+    def close(x: Column, y: Column) -> Column:
+        return ~F.isnan(x - y) & (F.abs(x - y) < TOLERANCE)
+
+    def equal(x: Column, y: Column) -> Column:
+        return once([number(x), number(y)], lambda p, q: F.when(p.isNotNull() & q.isNotNull(), close(p, q)).otherwise(strip(x) == strip(y)))
+
+    return F.coalesce(once([a, b], equal), F.lit(False))
 
 
 def reference(truth: Column) -> Column:
@@ -149,6 +173,15 @@ def reference(truth: Column) -> Column:
     return F.coalesce(first_hash(truth), last_number(truth), truth)
 
 
+def verdicts(response: Column, truth: Column) -> Column:
+    """struct(strict, lenient) with each extraction made once."""
+
+    def judged(h: Column, n: Column, gold: Column) -> Column:
+        return F.struct(numeric_equal(h, gold).alias("strict"), numeric_equal(F.coalesce(h, n), gold).alias("lenient"))
+
+    return once([response, truth], lambda r, g: once([first_hash(r), last_number(r), reference(g)], judged))
+
+
 # verdicts
 
 
@@ -180,18 +213,22 @@ def lenient_reward(response: Column, truth: Column, score: float = 1.0) -> Colum
 
 def score_fields(response: Column, truth: Column) -> dict[str, Column]:
     """The nine fields of a response's score row."""
-    h = first_hash(response)
-    return {
-        "strict_first_hash": strict(response, truth),
-        "strict_last_hash": numeric_equal(last_hash(response), reference(truth)),
-        "frozen_lenient": lenient(response, truth),
-        "last_number": numeric_equal(last_number(response), reference(truth)),
-        "hash_parseable": h.isNotNull(),
-        "marker_present": F.contains(response, F.lit("####")),
-        "extracted_first_hash": h,
-        "extracted_last_hash": last_hash(response),
-        "extracted_last_number": last_number(response),
-    }
+    made = score_struct(response, truth)
+    return {name: made[name] for name in SCORE_FIELDS}
+
+
+# The fields' names.
+SCORE_FIELDS = ("strict_first_hash", "strict_last_hash", "frozen_lenient", "last_number", "hash_parseable", "marker_present", "extracted_first_hash", "extracted_last_hash", "extracted_last_number")
+
+
+def score_struct(response: Column, truth: Column) -> Column:
+    """The same as one struct, with each extraction made once."""
+
+    def judged(r: Column, first: Column, final: Column, n: Column, gold: Column) -> Column:
+        fields = (numeric_equal(first, gold), numeric_equal(final, gold), numeric_equal(F.coalesce(first, n), gold), numeric_equal(n, gold), first.isNotNull(), F.contains(r, F.lit("####")), first, final, n)
+        return F.struct(*[c.alias(name) for name, c in zip(SCORE_FIELDS, fields, strict=True)])
+
+    return once([response, truth], lambda r, g: once([r, first_hash(r), last_hash(r), last_number(r), reference(g)], judged))
 
 
 Verdict = Callable[[Column, Column], Column]

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.readers import SCORERS, boxed, boxed_payload, hash_any, hash_line, last_number, numeric_equal, strip
+from gaugeworks.functions.readers import BOX, SCORERS, boxed, boxed_payload, hash_any, hash_line, last_number, numeric_equal, strip
 
 WRAPS = (("$$", "$$"), ("$", "$"), ("\\(", "\\)"), ("\\[", "\\]"))
 DROPPED = re.compile(r"\\(?:left|right|displaystyle|,|!|;|:| )|\\(?:text|mathrm|mbox)\s*\{\s*(?:units?|cm|m|feet|inches|degrees?)\s*\}|\^\s*\\?\{?\\circ\}?|~")
@@ -84,9 +84,12 @@ def parsed(payload: str | None) -> tuple | None:
 
 
 def same(gold: str, candidate: str | None) -> bool | None:
-    """Whether two answers are equal; null where either can't be read."""
+    """Whether two answers are equal; null where either can't be read. Other text than numbers, tuples and sets is read only
+    as far as it is the same text."""
     a, b = parsed(gold), parsed(candidate)
-    return None if a is None or b is None else a == b
+    if a is None or b is None:
+        return None
+    return True if a == b else None if "text" in (a[0], b[0]) else False
 
 
 def verdict(gold: Column, candidate: Column) -> Column:
@@ -99,21 +102,23 @@ def verdict(gold: Column, candidate: Column) -> Column:
 
 
 def _fallback(decided: Column, text: Column, truth: Column) -> Column:
+    """A verdict, or else whether the last numbers are equal."""
     return F.coalesce(decided, numeric_equal(last_number(text), last_number(truth)))
 
 
 def math_strict(response: Column, truth: Column) -> Column:
-    """A box is required; its contents decide."""
-    return F.when(boxed(response).isNull(), False).otherwise(_fallback(verdict(truth, boxed(response)), response, truth))
+    """A box's marker is required; the contents of the first closed box decide, else the response's last number."""
+    return F.when(F.contains(response, F.lit(BOX)), _fallback(verdict(truth, boxed(response)), response, truth)).otherwise(False)
 
 
 def math_lenient(response: Column, truth: Column) -> Column:
-    """The box if there is one, else the last line."""
+    """The box if there is one, else the last line, else the response's last number."""
     line = F.try_element_at(F.split(strip(response), r"\R"), F.lit(-1))
-    return F.when(boxed(response).isNotNull(), math_strict(response, truth)).otherwise(_fallback(verdict(truth, line), response, truth))
+    return F.when(F.contains(response, F.lit(BOX)), math_strict(response, truth)).otherwise(_fallback(verdict(truth, line), response, truth))
 
 
 def math_hashes_strict(response: Column, truth: Column) -> Column:
+    """What stands after the marker decides, else its last number."""
     tail = hash_any(response)
     return F.when(tail.isNull(), False).otherwise(_fallback(verdict(truth, tail), tail, truth))
 

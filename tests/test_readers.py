@@ -59,11 +59,20 @@ def equal(a: str | None, b: str | None) -> bool:
 
 
 def test_numeric_equal(spark):
-    pairs = [("1", "1.0004"), ("1", "1.002"), ("12d", "12"), (" x ", "x"), (None, "1"), ("1_000", "1000"), ("nan", "nan"), ("1e3", "1000"), ("5.", "5"), ("", "")]
+    pairs = [("1", "1.0004"), ("1", "1.002"), ("12d", "12"), (" x ", "x"), (None, "1"), ("1_000", "1000"), ("nan", "nan"), ("1e3", "1000"), ("5.", "5"), ("", ""), ("inf", "Infinity"), ("-inf", "5"), ("NaN", "5"), ("\u0663.5", "3.5"), ("\u0667", "7.0"), ("infinite", "infinite"), ("\u00b2", "2"), ("\u2003 8", "8\u00a0")]
     got = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").select(R.numeric_equal(F.col("a"), F.col("b"))).collect()
-    want = [equal(a, b) for a, b in pairs]
-    want[6] = True  # not a number for the reader: equal as text
-    assert [r[0] for r in got] == want
+    assert [r[0] for r in got] == [equal(a, b) for a, b in pairs]
+
+
+def test_verdicts_and_fields_once(spark):
+    """The structs that extract once say what the single readers say."""
+    pairs = [(c[0], g) for c in CASES for g in ("#### 72", "12", "x", "#### 1,234")] + [(None, "1"), ("#### nan", "nan")]
+    r, g = F.col("r"), F.col("g")
+    d = spark.createDataFrame(pairs, "r string, g string")
+    single = [R.strict(r, g), R.lenient(r, g), R.numeric_equal(R.last_hash(r), R.reference(g)), R.numeric_equal(R.last_number(r), R.reference(g))]
+    for x in d.select(R.verdicts(r, g).alias("v"), R.score_struct(r, g).alias("s"), *[c.alias(f"c{i}") for i, c in enumerate(single)]).collect():
+        assert (x.v.strict, x.v.lenient) == (x.c0, x.c1) == (x.s.strict_first_hash, x.s.frozen_lenient)
+        assert (x.s.strict_last_hash, x.s.last_number) == (x.c2, x.c3)
 
 
 PIECES = st.lists(st.sampled_from(["####", "#", " ", "\n", "-", "1", "23", ".", ",", "$", "\\boxed{", "{", "}", "x", "boxed", "@@@"]), max_size=12).map("".join)

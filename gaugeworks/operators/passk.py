@@ -28,13 +28,15 @@ def keep_largest(records: DataFrame, order: str) -> DataFrame:
     return records.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")
 
 
-def curve(records: DataFrame, ks: Iterable[int] = KS) -> DataFrame:
-    """k, lenient, strict: means over items of pass@k, for k up to the smallest n. Items collapse to their (n, c) first."""
-    shapes = records.groupBy("n", "c", "c_strict").agg(F.count(F.lit(1)).alias("items"))
-    least = records.agg(F.min("n").alias("least"))  # one row
-    grid = shapes.crossJoin(F.broadcast(least)).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("k <= least")
+def curve(records: DataFrame, ks: Iterable[int] = KS, by: str | None = None) -> DataFrame:
+    """k, lenient, strict: means over items of pass@k, for k up to the smallest n (of each value of `by`, if given). Items
+    collapse to their (n, c) first."""
+    group = [by] if by else []
+    shapes = records.groupBy(*dict.fromkeys(["n", "c", "c_strict", *group])).agg(F.count(F.lit(1)).alias("items"))
+    least = F.min("n").over(Window.partitionBy(*group))  # of different (n, c): as many rows as there are shapes
+    grid = shapes.withColumn("least", least).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("k <= least")
     mean = lambda c: F.sum(pass_at_k(F.col("n"), F.col(c), F.col("k")) * F.col("items")) / F.sum("items")
-    return grid.groupBy("k").agg(mean("c").alias("lenient"), mean("c_strict").alias("strict"))
+    return grid.groupBy(*group, "k").agg(mean("c").alias("lenient"), mean("c_strict").alias("strict"))
 
 
 def summary(records: DataFrame) -> DataFrame:

@@ -23,6 +23,10 @@ def _last(x: str, pattern: str, group: int) -> str:
     return f"list_extract(regexp_extract_all({x}, '{pattern}', {group}), -1)"
 
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
 def _hlast(x: str) -> str:
     return _last(f"replace({x}, ',', '')", "####\\s*(-?\\d+\\.?\\d*)", 1)
 
@@ -43,7 +47,7 @@ def _boxed(x: str) -> str:
 
 
 def _eq(a: str, b: str) -> str:
-    return f"coalesce(CASE WHEN TRY_CAST({a} AS DOUBLE) IS NOT NULL AND TRY_CAST({b} AS DOUBLE) IS NOT NULL THEN abs(TRY_CAST({a} AS DOUBLE) - TRY_CAST({b} AS DOUBLE)) < 1e-3 ELSE trim({a}) = trim({b}) END, false)"
+    return f"coalesce(CASE WHEN TRY_CAST({a} AS DOUBLE) IS NOT NULL AND TRY_CAST({b} AS DOUBLE) IS NOT NULL THEN isfinite(TRY_CAST({a} AS DOUBLE)) AND isfinite(TRY_CAST({b} AS DOUBLE)) AND abs(TRY_CAST({a} AS DOUBLE) - TRY_CAST({b} AS DOUBLE)) < 1e-3 ELSE trim({a}) = trim({b}) END, false)"
 
 
 GOLD = f"coalesce({_h1('ground_truth')}, {_num('ground_truth')}, ground_truth)"
@@ -55,8 +59,9 @@ PER_ITEM = JUDGED + ", per_item AS (SELECT id, count(*) AS n, count(*) FILTER (l
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, g = F.col("response"), F.col("ground_truth")
-    return scored(spark, sf_dir).withColumns({"le": R.lenient(r, g), "st": R.strict(r, g)})
+    """Scored samples with both verdicts (le, st), each extraction made once a response."""
+    both = scored(spark, sf_dir).withColumn("_v", R.verdicts(F.col("response"), F.col("ground_truth")))
+    return both.withColumns({"le": F.col("_v.lenient"), "st": F.col("_v.strict")}).drop("_v")
 
 
 def per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,13 +84,23 @@ def _passk(c: str) -> str:
     return f"CASE WHEN {c} = 0 THEN 0.0 WHEN n - {c} < k THEN 1.0 ELSE 1.0 - exp(lgamma(n - {c} + 1) - lgamma(n - {c} - k + 1) - lgamma(n + 1) + lgamma(n - k + 1)) END"
 
 
-@query("passk_curve", PER_ITEM + f"SELECT k, round(avg({_passk('c')}), 9) AS lenient, round(avg({_passk('c_strict')}), 9) AS strict FROM per_item, (SELECT unnest([1, 2, 4, 8, 16, 32]) AS k) WHERE n >= 4 AND k <= 4 GROUP BY k")
+_CURVE = f"round(avg({_passk('c')}), 9) AS lenient, round(avg({_passk('c_strict')}), 9) AS strict"
+
+
+@query("passk_curve", PER_ITEM + f"SELECT k, {_CURVE} FROM per_item, (SELECT unnest([1, 2, 4, 8, 16, 32]) AS k) WHERE k <= (SELECT min(n) FROM per_item) GROUP BY k")
 def passk_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over items with four responses or more, so that the curve has points beyond k = 1."""
-    out = passk.curve(per_item(spark, sf_dir).where("n >= 4"))
+    """Over all items, for k up to the smallest number of responses."""
+    out = passk.curve(per_item(spark, sf_dir))
     return out.select("k", F.round("lenient", 9).alias("lenient"), F.round("strict", 9).alias("strict"))
 
 
+@query("passk_curve_by_n", PER_ITEM + f"SELECT n, k, {_CURVE} FROM per_item, (SELECT unnest([1, 2, 4, 8, 16, 32]) AS k) WHERE k <= n GROUP BY n, k")
+def passk_curve_by_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A curve for each number of responses that items have, so that all items count at every k that they reach."""
+    out = passk.curve(per_item(spark, sf_dir), by="n")
+    return out.select("n", "k", F.round("lenient", 9).alias("lenient"), F.round("strict", 9).alias("strict"))
+
+
 @query("pass_at_k_per_item", PER_ITEM + f"SELECT id, k, round({_passk('c')}, 9) AS p FROM per_item, (SELECT unnest([1, 2, 4]) AS k) WHERE k <= n")
 def pass_at_k_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = per_item(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4)))).where("k <= n")
@@ -123,12 +138,13 @@ def _reader(name: str, reader: Callable[[Column], Column], sql: str) -> None:
 _reader("reader_hash_first", R.first_hash, _h1("response"))
 _reader("reader_hash_last", R.last_hash, _hlast("response"))
 _reader("reader_hash_tail300", R.tail_hash, _last("translate(right(response, 300), ',$', '')", "####\\s*(-?\\d+\\.?\\d*)", 1))
-_reader("reader_hash_any", R.hash_any, "nullif(trim(regexp_extract(response, '####\\s*(.+)', 1)), '')")
-_reader("reader_hash_line", R.hash_line, "nullif(trim(regexp_extract(response, '####[ \\t]*([^\\n]*)', 1)), '')")
-_reader("reader_hash_line_last", lambda x: R.hash_line(x, "last"), f"nullif(trim({_last('response', '####[ \\t]*([^\\n]*)', 1)}), '')")
+_reader("reader_hash_any", R.hash_any, f"nullif({_strip("regexp_extract(response, '####\\s*(.+)', 1)")}, '')")
+_reader("reader_hash_line", R.hash_line, f"nullif({_strip("regexp_extract(response, '####[ \\t]*([^\\n]*)', 1)")}, '')")
+_reader("reader_hash_line_last", lambda x: R.hash_line(x, "last"), f"nullif({_strip(_last('response', '####[ \\t]*([^\\n]*)', 1))}, '')")
 _reader("reader_last_number", R.last_number, _num("response"))
 _reader("reader_boxed_first", R.boxed, _boxed("response"))
-_reader("reader_boxed_payload", R.boxed_payload, f"nullif(trim({_boxed('response')}), '')")
+_AFTER = "regexp_replace(response, '(?s)^.*?\\\\boxed\\s*\\{', '')"
+_reader("reader_boxed_payload", R.boxed_payload, f"CASE WHEN regexp_matches(response, '\\\\boxed\\s*\\{{') THEN nullif(trim({_fold(_AFTER)}), '') END")
 _reader("reader_boxed_flat", R.flat_box, f"translate(trim({_last('right(response, 300)', chr(92) * 2 + 'boxed' + chr(92) + '{([^{}]*)' + chr(92) + '}', 1)}), ',$', '')")
 _reader("reader_flexible", R.flexible_number, "coalesce(list_extract(list_filter(regexp_extract_all(right(response, 300), '-?[0-9.,]+'), lambda x: x <> '.'), -1), list_extract(regexp_extract_all(right(response, 300), '-?[0-9.,]+'), 1))")
 
@@ -146,8 +162,8 @@ def reader_last_number_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("score_verdicts", f"SELECT id, sample, {STRICT} AS strict, {LENIENT} AS lenient, {BOXED} AS boxed FROM scored")
 def score_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, g = F.col("response"), F.col("ground_truth")
-    return scored(spark, sf_dir).select("id", "sample", R.strict(r, g).alias("strict"), R.lenient(r, g).alias("lenient"), R.boxed_strict(r, g).alias("boxed"))
+    d = judged(spark, sf_dir)
+    return d.select("id", "sample", F.col("st").alias("strict"), F.col("le").alias("lenient"), R.boxed_strict(_response(), F.col("ground_truth")).alias("boxed"))
 
 
 @query("score_novel", f"SELECT id, sample, {_eq("nullif(regexp_extract(replace(replace(response, '####', '@@@'), ',', ''), '@@@\\s*(-?\\d+\\.?\\d*)', 1), '')", GOLD)} AS novel FROM scored")
@@ -158,8 +174,7 @@ def score_novel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("response_score_struct", f"""SELECT id, sample, {STRICT} AS strict_first_hash, {_eq(_hlast('response'), GOLD)} AS strict_last_hash, {LENIENT} AS frozen_lenient, {_eq(_num('response'), GOLD)} AS last_number,
  {_h1('response')} IS NOT NULL AS hash_parseable, contains(response, '####') AS marker_present, {_h1('response')} AS extracted_first_hash, {_hlast('response')} AS extracted_last_hash, {_num('response')} AS extracted_last_number FROM scored""")
 def response_score_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = R.score_fields(_response(), F.col("ground_truth"))
-    return scored(spark, sf_dir).select("id", "sample", *[c.alias(n) for n, c in fields.items()])
+    return scored(spark, sf_dir).select("id", "sample", R.score_struct(_response(), F.col("ground_truth")).alias("s")).select("id", "sample", "s.*")
 
 
 @query("reader_parity", f"SELECT count(*) FILTER ({STRICT} <> {_eq(_h1('response'), GOLD)}) AS differing FROM scored")
@@ -183,16 +198,17 @@ def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FOUR = "regexp_matches(response, '(^|[^#])####([^#]|$)')"
 _HP = "regexp_matches(response, '(^|[^#])####[ \\t]*(\\$|\\*\\*|`| )*[+-]?([0-9]|\\.[0-9])')"
-_BP = f"coalesce(length({_boxed('response')}) > 0, false)"
-FLAGS = f", flags AS (SELECT *, {_FOUR} AS h_marker, contains(response, chr(92) || 'boxed{{') AS b_marker, {_HP} AS h_payload, {_BP} AS b_payload FROM samples)\n"
+#: What follows each box's marker, with escaped characters blotted out (two for two) to find the closing brace, and as it is.
+_TAILS = """list_transform(range(2, len(string_split_regex(response, '\\\\boxed\\s*\\{')) + 1), lambda i: array_to_string(string_split_regex(response, '\\\\boxed\\s*\\{')[i:], '.....{'))"""
+_CONTENTS = f"list_transform(tails, lambda t: left(t, length({_fold("regexp_replace(t, '(?s)\\\\.', '..', 'g')")})))"
+_HOLLOW = """translate(replace(replace(replace(replace(replace(replace(replace(trim(c), chr(92) || '(', ''), chr(92) || ')', ''), chr(92) || '[', ''), chr(92) || ']', ''), chr(92) || '$', ''), chr(92) || '{', ''), chr(92) || '}', ''), ' $`*_{}[]()"''.,:;!?' || chr(9) || chr(10) || chr(13), '')"""
+FLAGS = f""", tails AS (SELECT *, {_TAILS} AS tails FROM samples), contents AS (SELECT *, {_CONTENTS} AS contents FROM tails),
+ flags AS (SELECT * EXCLUDE (tails, contents), {_FOUR} AS h_marker, len(tails) > 0 AS b_marker, {_HP} AS h_payload, len(list_filter(contents, lambda c: c IS NOT NULL AND {_HOLLOW} <> '')) > 0 AS b_payload FROM contents)\n"""
 CATEGORY = "CASE WHEN h_payload AND b_payload THEN 'both' WHEN CASE WHEN request = 'hash' THEN h_payload ELSE b_payload END THEN 'requested_only' WHEN h_payload OR b_payload THEN 'other_only' ELSE 'neither' END"
 
 
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = samples(spark, sf_dir)
-    flags = detector.hash_flags(_response())
-    box = R.boxed(_response())
-    return d.withColumns({"h_marker": flags["h_marker"], "b_marker": flags["b_marker"], "h_payload": flags["h_payload"], "b_payload": F.coalesce(~detector.hollow(box), F.lit(False))})
+    return samples(spark, sf_dir).withColumns(detector.flags(_response()))
 
 
 @query("payload_flags", FLAGS + "SELECT id, sample, h_marker, b_marker, h_payload, b_payload FROM flags")
@@ -211,7 +227,7 @@ SELECT seed, training, request, count(*) AS responses, count(*) FILTER (h_marker
  count(*) FILTER (category = 'requested_only') AS requested_only, count(*) FILTER (category = 'other_only') AS other_only, count(*) FILTER (category = 'both') AS "both", count(*) FILTER (category = 'neither') AS neither FROM k GROUP BY ALL""")
 def payload_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = detector.cell_counts(samples(spark, sf_dir), "seed", "training", "request")
-    return out.drop("raw_h_nonempty", "raw_b_nonempty", "responses_with_candidates")
+    return out.drop("raw_h_nonempty", "raw_b_nonempty")
 
 
 @query("payload_candidates")

@@ -10,6 +10,7 @@ from gaugeworks.operators import binning, budget, builders, calibration, gates,
 from gaugeworks.plans.registry import query
 from gaugeworks.plans.scoring import LENIENT, judged
 from gaugeworks.sources.fixtures import items, samples, table
+from gaugeworks.sources.sinks import written
 
 # difficulty
 
@@ -43,8 +44,13 @@ BINS = SCORES + ", ranked AS (SELECT *, row_number() OVER (ORDER BY solve_count,
 AUDIT = BINS + ", audit AS (SELECT row_id, difficulty_bin, rn AS audit_rank FROM (SELECT *, row_number() OVER (PARTITION BY difficulty_bin ORDER BY sha256('audit:20260717:' || row_id)) AS rn FROM bins) WHERE rn <= 25)\n"
 
 
+def _scores_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores written to the checkpoint folder: responses are scored once, whoever reads them how often."""
+    return written(_scores(spark, sf_dir))
+
+
 def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binning.balanced_bins(_scores(spark, sf_dir), 4).select("row_id", "solve_count", "rollouts", "difficulty_bin")
+    return binning.balanced_bins(_scores_once(spark, sf_dir), 4).select("row_id", "solve_count", "rollouts", "difficulty_bin")
 
 
 @query("balanced_bins", BINS + "SELECT * FROM bins")
@@ -54,7 +60,7 @@ def balanced_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("balanced_bins_blake2b")
 def balanced_bins_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binning.balanced_bins(_scores(spark, sf_dir), 4, hashing.blake2b64).select("row_id", "solve_count", "difficulty_bin")
+    return binning.balanced_bins(_scores_once(spark, sf_dir), 4, hashing.blake2b64).select("row_id", "solve_count", "difficulty_bin")
 
 
 @query("cutpoint_bins", SCORES + "SELECT row_id, solve_count, CAST((solve_count > 0)::INT + (solve_count > 1)::INT + (solve_count > 3)::INT AS INTEGER) AS difficulty_bin FROM scores")
@@ -70,9 +76,8 @@ def audit_topk_per_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bin_summary", AUDIT + """SELECT b.difficulty_bin, count(*) AS full_count, round(avg(solve_count::DOUBLE / rollouts), 9) AS mean_rate, min(solve_count::DOUBLE / rollouts) AS min_rate, max(solve_count::DOUBLE / rollouts) AS max_rate,
  count(*) FILTER (a.row_id IS NULL) AS training_count, count(a.row_id) AS audit_count FROM bins b LEFT JOIN audit a ON b.row_id = a.row_id GROUP BY b.difficulty_bin""")
 def bin_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = _bins(spark, sf_dir)
-    audit = binning.audit_pool(bins, 25, 20260717)
-    return binning.bin_summary(bins, binning.without_audit(bins, audit), audit)
+    bins = written(_bins(spark, sf_dir))
+    return binning.bin_summary(binning.marked_audit(bins, binning.audit_pool(bins, 25, 20260717)))
 
 
 @query("id_and_seed_rules", "SELECT o_orderkey AS id, 'H' || upper(left(sha256('20260716:orders:' || o_orderkey), 10)) AS sample_id, CAST((20260716::BIGINT * 1000003 + o_orderkey) % 2147483647 AS BIGINT) AS seed FROM orders", fixtures=False)
@@ -378,22 +383,13 @@ def column_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("micro_batches", ", p AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) SELECT k // 256 AS batch, count(*) AS rows, min(id) AS first_id FROM p GROUP BY 1")
 def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions come from ranks per slice of ids and the slices' sizes."""
-    keyed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).withColumn("slice", F.expr("id div 10000"))
-    ranked = binning.global_rank(keyed, "slice", F.lpad(F.col("id").cast("string"), 20, "0"), "position")
+    """Positions come from ranks within ranges of ids and the ranges' sizes."""
+    ranked = binning.position_in_order(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id", 10_000, "position")
     return builders.micro_batches(ranked, "position", 256).groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first_id"))
 
 
-@query("receipt_hashes", "SELECT o_orderpriority AS name, sha256(string_agg(sha256(CAST(o_orderkey AS VARCHAR)), '' ORDER BY o_orderkey)) AS sha256, count(*) AS rows FROM (SELECT * FROM orders WHERE o_orderkey % 50 = 0) GROUP BY 1", fixtures=False)
+@query("receipt_hashes")
 def receipt_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A receipt per part of a small manifest (every 50th order): digests of its rows in order. receipt_hashes_whole has all."""
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select("o_orderpriority", "o_orderkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("h"))
-    own = rows.groupBy(F.col("o_orderpriority").alias("name")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "h"))).alias("r"), F.count(F.lit(1)).alias("rows"))
-    return own.select("name", F.sha2(F.array_join(F.transform("r", lambda x: x["h"]), ""), 256).alias("sha256"), "rows")
-
-
-@query("receipt_hashes_whole")
-def receipt_hashes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A receipt per priority over all orders."""
     return builders.row_receipts(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey")
 

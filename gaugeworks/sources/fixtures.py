@@ -2,9 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_FAR = " and so on" * 40
+#: Responses; <a> is the item's answer, <w> a wrong one.
+SHAPES = (
+    "We get #### <a>",
+    "We get \\boxed{<a>}",
+    "so the total is <a>.",
+    "#### <w> and then #### <a>",
+    "#### $<a> dollars\n\\boxed{<a>}",
+    "\\boxed{\\frac{<a>}{1}}",
+    "\\boxed{<a>",
+    "##### <a>",
+    'Output the final answer after "####".',
+    "####\n<a>",
+    "#### <w>",
+    "first \\boxed{} then \\boxed{<a>}",
+    "spaced \\boxed { <a> }",
+    "\\boxed{<a>\\} is not closed",
+    "#### <a>" + _FAR + " \\boxed{<w>}" + _FAR,
+    "#### **`<a>`** or \\boxed{$\\}",
+    "#### nan\r\n\\boxed{{<a>}<w>}",
+    "no digits here",
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,28 +41,23 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), answer.alias("answer"), F.concat(F.lit("#### "), answer.cast("string")).alias("ground_truth"))
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, sample, training, request, finish_reason, seed, output_tokens, supplier, response (twelve shapes)."""
+def _parts(shape: str) -> list[str]:
+    return [x for x in re.split("(<[aw]>)", shape) if x]
+
+
+def _filled(shape: str) -> Column:
+    names = {"<a>": F.col("answer").cast("string"), "<w>": (F.col("answer") + 1).cast("string")}
+    return F.concat(*[names.get(x, F.lit(x)) for x in _parts(shape)])
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, sample, training, request, finish_reason, seed, output_tokens, supplier, response, answer, ground_truth: samples
+    with their item's gold answer, in one join. Catalyst picks it: items grow with the input."""
     line = table(spark, sf_dir, "lineitem").join(items(spark, sf_dir), F.col("l_orderkey") == F.col("id"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    a, w, bs = F.col("answer").cast("string"), (F.col("answer") + 1).cast("string"), F.lit("\\")
-    shape = F.col("l_partkey") % 12
-    texts = [
-        F.concat(F.lit("We get #### "), a),
-        F.concat(F.lit("We get "), bs, F.lit("boxed{"), a, F.lit("}")),
-        F.concat(F.lit("so the total is "), a, F.lit(".")),
-        F.concat(F.lit("#### "), w, F.lit(" and then #### "), a),
-        F.concat(F.lit("#### $"), a, F.lit(" dollars\n"), bs, F.lit("boxed{"), a, F.lit("}")),
-        F.concat(bs, F.lit("boxed{"), bs, F.lit("frac{"), a, F.lit("}{1}}")),
-        F.concat(bs, F.lit("boxed{"), a),
-        F.concat(F.lit("##### "), a),
-        F.lit('Output the final answer after "####".'),
-        F.concat(F.lit("####\n"), a),
-        F.concat(F.lit("#### "), w),
-    ]
-    response = F.lit("no digits here")
-    for i, text in reversed(list(enumerate(texts))):
-        response = F.when(shape == i, text).otherwise(response)
+    which, response = F.col("l_partkey") % len(SHAPES), F.lit(None).cast("string")
+    for i, shape in reversed(list(enumerate(SHAPES))):
+        response = F.when(which == i, _filled(shape)).otherwise(response)
     return line.select(
         "id",
         (F.row_number().over(order) - 1).cast("long").alias("sample"),
@@ -48,22 +68,26 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("long").alias("output_tokens"),
         F.col("l_suppkey").alias("supplier"),
         response.alias("response"),
+        "answer",
+        "ground_truth",
     )
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples with their item's gold answer. Catalyst picks the join: items grow with the input."""
-    return samples(spark, sf_dir).join(items(spark, sf_dir), "id")
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without the gold answer."""
+    return scored(spark, sf_dir).drop("answer", "ground_truth")
+
+
+def _sql_filled(shape: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''").replace("\\", "' || chr(92) || '").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '") + "'"
+    return " || ".join(x[1] if x in ("<a>", "<w>") else quoted(x) for x in _parts(shape))
 
 
 ITEMS_SQL = """items AS (SELECT o_orderkey AS id, CAST(CAST(floor(o_totalprice) AS BIGINT) % 10000 AS BIGINT) AS answer,
  '#### ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 10000 AS VARCHAR) AS ground_truth FROM orders)"""
-SAMPLES_SQL = """samples AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS sample,
+SAMPLES_SQL = f"""samples AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS sample,
  CASE WHEN l_linestatus = 'O' THEN 'hash' ELSE 'boxed' END AS training, CASE WHEN l_suppkey % 2 = 0 THEN 'hash' ELSE 'boxed' END AS request,
  CASE WHEN l_returnflag = 'R' THEN 'length' ELSE 'stop' END AS finish_reason, CAST(year(l_shipdate) AS INTEGER) AS seed, CAST(l_quantity AS BIGINT) AS output_tokens, l_suppkey AS supplier,
- CASE l_partkey % 12 WHEN 0 THEN 'We get #### ' || a WHEN 1 THEN 'We get ' || bs || 'boxed{' || a || '}' WHEN 2 THEN 'so the total is ' || a || '.'
- WHEN 3 THEN '#### ' || w || ' and then #### ' || a WHEN 4 THEN '#### $' || a || ' dollars' || chr(10) || bs || 'boxed{' || a || '}'
- WHEN 5 THEN bs || 'boxed{' || bs || 'frac{' || a || '}{1}}' WHEN 6 THEN bs || 'boxed{' || a WHEN 7 THEN '##### ' || a
- WHEN 8 THEN 'Output the final answer after "####".' WHEN 9 THEN '####' || chr(10) || a WHEN 10 THEN '#### ' || w ELSE 'no digits here' END AS response
- FROM (SELECT l.*, chr(92) AS bs, CAST(i.answer AS VARCHAR) AS a, CAST(i.answer + 1 AS VARCHAR) AS w FROM lineitem l JOIN items i ON l.l_orderkey = i.id) t)"""
+ CASE l_partkey % {len(SHAPES)} {" ".join(f"WHEN {i} THEN {_sql_filled(s)}" for i, s in enumerate(SHAPES))} END AS response
+ FROM (SELECT l.*, CAST(i.answer AS VARCHAR) AS a, CAST(i.answer + 1 AS VARCHAR) AS w FROM lineitem l JOIN items i ON l.l_orderkey = i.id) t)"""
 SCORED_SQL = "scored AS (SELECT s.*, i.answer, i.ground_truth FROM samples s JOIN items i ON s.id = i.id)"

@@ -101,24 +101,37 @@ def exact_value(expression: str) -> Fraction:
     return value(ast.parse(expression, mode="eval").body)
 
 
+class _Steps:
+    """A chain of whole-number steps. The ranges, the sign lists and the order of draws (first number, then for
+    each step its sign and its operand), on which the items of a seed depend."""
+
+    FIRST, OPERAND, DIVISORS, FURTHEST = (2, 40), (2, 20), range(2, 13), 10_000
+
+    def __init__(self, rng: random.Random, length: int):
+        self.value = rng.randint(*self.FIRST)
+        self.text, self.signs = str(self.value), []
+        for _ in range(length):
+            self._extend(rng)
+
+    def _extend(self, rng: random.Random) -> None:
+        exact = [] if self.value == 0 else [d for d in self.DIVISORS if not self.value % d]
+        sign = rng.choice("+-*/" if exact else "+-*")
+        operand = rng.choice(exact) if sign == "/" else rng.randint(*self.OPERAND)
+        self.text = f"({self.text} {sign} {operand})"
+        self.value = int(exact_value(f"{self.value} {sign} {operand}"))
+        self.signs.append(sign)
+
+    def usable(self, taken: set[str]) -> bool:
+        return abs(self.value) <= self.FURTHEST and self.text not in taken
+
+
 def arithmetic_items(spark: SparkSession, seed: int = 20260908, sizes: tuple[tuple[str, int], ...] = (("dev", 32), ("test", 500))) -> DataFrame:
-    """Seeded items of two to four steps with unique expressions, checked by exact_value; a few hundred rows made on the driver."""
-    rng, used, rows = random.Random(seed), set(), []
-    for split, count in sizes:
-        for i in range(count):
-            while True:
-                value = rng.randint(2, 40)
-                text, steps = str(value), []
-                for _ in range(2 + i % 3):
-                    whole = [d for d in range(2, 13) if value and value % d == 0]
-                    sign = rng.choice(["+", "-", "*", "/"] if whole else ["+", "-", "*"])
-                    by = rng.choice(whole) if sign == "/" else rng.randint(2, 20)
-                    value = {"+": value + by, "-": value - by, "*": value * by, "/": value // by}[sign]
-                    text, steps = f"({text} {sign} {by})", [*steps, sign]
-                if text not in used and abs(value) <= 10_000:
-                    break
-            if exact_value(text) != value:
-                raise ValueError("the generator and the exact value differ")
-            used.add(text)
-            rows.append((i, f"Calculate the exact value of {text}.", str(value), (split, seed, len(steps), text, steps)))
+    """Seeded items of two to four steps with unique expressions; a few hundred rows made on the driver. Each answer is the
+    exact value of the whole expression."""
+    rng, taken, rows = random.Random(seed), set(), []
+    for split, index in ((name, i) for name, count in sizes for i in range(count)):
+        chain = next(c for c in iter(lambda n=2 + index % 3: _Steps(rng, n), None) if c.usable(taken))
+        taken.add(chain.text)
+        answer = str(exact_value(chain.text))
+        rows.append((index, f"Calculate the exact value of {chain.text}.", answer, (split, seed, len(chain.signs), chain.text, chain.signs)))
     return spark.createDataFrame(rows, SCHEMAS["arithmetic_items"])

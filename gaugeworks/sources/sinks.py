@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +16,73 @@ def create_only(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.mode("errorifexists").format(kind).save(path)
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and a function that makes its paths."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to
+
+
 def published(df: DataFrame, path: str) -> None:
-    """Writes beside the target and renames the folder, so that a target is replaced at once or not at all."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    to, side = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".next")
-    df.write.mode("overwrite").parquet(path + ".next")
-    fs = to.getFileSystem(conf)
-    fs.delete(to, True)
-    if not fs.rename(side, to):
+    """Writes beside the target, then swaps folders: the old table stays, under its name or under .old, until the new one has
+    the name. If a run ended between the two renames, `recovered` (called here first) brings the old table back."""
+    fs, to = _file_system(df.sparkSession, path)
+    recovered(df.sparkSession, path)
+    old = to(f"{path}.old")
+    df.write.mode("overwrite").parquet(f"{path}.next")
+    if fs.exists(to(path)) and not fs.rename(to(path), old):
+        raise OSError(f"{path} could not be set aside")
+    if not fs.rename(to(f"{path}.next"), to(path)):
+        recovered(df.sparkSession, path)
         raise OSError(f"{path} could not be published")
+    fs.delete(old, True)
+
+
+def recovered(spark: SparkSession, path: str) -> None:
+    """Undoes or ends a swap that was broken off: without a target the old table comes back, else it goes."""
+    fs, to = _file_system(spark, path)
+    if fs.exists(to(f"{path}.old")):
+        fs.delete(to(f"{path}.old"), True) if fs.exists(to(path)) else fs.rename(to(f"{path}.old"), to(path))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read back, for what is read more than once. The folder is the one that
+    spark.checkpoint.dir names; only a local session may do without."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gaugeworks-"))
+    return df.checkpoint()
+
+
+def durable_json(document: object, spark: SparkSession, path: str) -> None:
+    """A JSON document (sorted keys, indented) that is written beside its target, synced and renamed over it."""
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jvm.java.net.URI.create(path if "://" in path else f"file://{path}"), spark.sparkContext._jsc.hadoopConfiguration())
+    fs, to = _file_system(spark, path)
+    out = fs.create(to(f"{path}.next"), True)
+    try:
+        out.write(bytearray((json.dumps(document, indent=2, sort_keys=True) + "\n").encode()))
+        out.hsync()
+    finally:
+        out.close()
+    option = spark.sparkContext._gateway.new_array(getattr(spark.sparkContext._jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    option[0] = getattr(spark.sparkContext._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    context.rename(to(f"{path}.next"), to(path), option)
+
+
+def frozen_manifest(spark: SparkSession, path: str, stated: dict) -> dict:
+    """A manifest as first written: made read-only if it isn't there, read if it is and refused if it states anything else."""
+    fs, to = _file_system(spark, path)
+    if not fs.exists(to(path)):
+        durable_json(stated, spark, path)
+        fs.setPermission(to(path), spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission("0444"))
+        return stated
+    there = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    if different := sorted(k for k in {*there, *stated} if there.get(k) != stated.get(k)):
+        raise ValueError(f"the manifest {path} states other values of {different}")
+    return there
 
 
 def append_new(rows: DataFrame, path: str, key: str = "id") -> None:
@@ -44,8 +104,15 @@ def verify_receipts(spark: SparkSession, stated: DataFrame, path: str) -> None:
     gates.require_empty(gates.receipts_match(stated, receipts(spark, path)))
 
 
-def csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    df.select(*columns).write.mode("errorifexists").option("header", True).csv(path)
+def jsonl(df: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls included."""
+    df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+
+
+def csv(df: DataFrame, path: str, columns: list[str], byte_order_mark: bool = False) -> None:
+    """Create-only CSV with a header; with a byte order mark each file begins with U+FEFF, which spreadsheets ask for."""
+    named = [F.col(c).alias(f"\ufeff{c}" if byte_order_mark and not i else c) for i, c in enumerate(columns)]
+    df.select(*named).write.mode("errorifexists").option("header", True).csv(path)
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:

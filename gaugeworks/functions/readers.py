@@ -22,11 +22,14 @@ HASH_LINE = r"(?U)####[^\S\n]*([^\n]*)"
 FLAT_BOX = r"\\boxed\{([^{}]*)\}"
 FLEXIBLE = r"-?[0-9.,]+"
 FLOAT = r"(?i)^[+-]?(?:(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|nan|inf|infinity)$"
+SIMPLE = r"^-?[0-9]+\.?[0-9]*$"
 BOX = "\\boxed{"
 TAIL = 300
 TOLERANCE = 1e-3
 
 
+#: White space, as str.strip takes it.
+SPACES = "".join(chr(i) for i in range(1 << 16) if chr(i).isspace())
 #: Decimal digits beyond ASCII, and their values.
 DIGITS = "".join(chr(i) for i in range(128, sys.maxunicode + 1) if unicodedata.decimal(chr(i), None) is not None)
 VALUES = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
@@ -45,7 +48,7 @@ def none_if_empty(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """All white space at both ends (trim takes spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def without_commas(c: Column) -> Column:
@@ -101,28 +104,29 @@ def novel(text: Column) -> Column:
 # boxes
 
 
-def _fold(text: Column) -> Column:
-    """What stands before the brace that closes one open brace; null if none does. One pass over characters."""
-    state = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("taken"))
+def closed_part(text: Column, escapes: bool) -> Column:
+    """What stands before the brace that closes one open brace; null if none does. One step a brace. With escapes, a brace
+    behind an odd run of backslashes is text."""
+    up_to_braces = F.regexp_extract_all(text, F.lit(r"(?s)(?:\\.|[^{}\\])*[{}]" if escapes else r"[^{}]*[{}]"), F.lit(0))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("taken"))
 
-    def step(s: Column, ch: Column) -> Column:
-        depth = s["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-        open_still = s["depth"] > 0
-        return F.struct(F.when(open_still, depth).otherwise(s["depth"]).alias("depth"), (s["taken"] + (open_still & (depth > 0)).cast("int")).alias("taken"))
+    def step(s: Column, part: Column) -> Column:
+        depth = s["depth"] + F.when(F.right(part, F.lit(1)) == "{", 1).otherwise(-1)
+        return F.when(s["depth"] == 0, s).otherwise(F.struct(depth.alias("depth"), (s["taken"] + F.length(part)).alias("taken")))
 
-    return F.aggregate(F.split(text, ""), state, step, lambda s: F.when(s["depth"] == 0, F.left(text, s["taken"])))
+    return F.aggregate(up_to_braces, start, step, lambda s: F.when(s["depth"] == 0, F.left(text, s["taken"] - 1)))
 
 
 def boxed(text: Column) -> Column:
     """Contents of the first \\boxed{...}, braces matched; an unclosed box is none, an empty one is empty."""
     at = F.instr(text, BOX)
-    return F.when(at > 0, _fold(F.substr(text, at + len(BOX))))
+    return F.when(at > 0, closed_part(F.substr(text, at + len(BOX)), False))
 
 
 def boxed_payload(text: Column, which: str = "first") -> Column:
     """Contents of the first or last \\boxed {...} (white space allowed), braces matched, trimmed; empty is none."""
     pattern = r"(?Us)^(?:.*?)\\boxed\s*\{(.*)$" if which == "first" else r"(?Us)^(?:.*)\\boxed\s*\{(.*)$"
-    return F.when(text.rlike(r"(?U)\\boxed\s*\{"), none_if_empty(strip(_fold(F.regexp_extract(text, pattern, 1)))))
+    return F.when(text.rlike(r"(?U)\\boxed\s*\{"), none_if_empty(strip(closed_part(F.regexp_extract(text, pattern, 1), False))))
 
 
 def flat_box(text: Column, n: int = TAIL) -> Column:
@@ -145,60 +149,76 @@ def last_number(text: Column) -> Column:
     return last(matches(without_commas(text), NUMBER, 0))
 
 
+def _plain(c: Column) -> Column:
+    """ASCII digits for others."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, DIGITS, VALUES)).otherwise(c)
+
+
 def number(c: Column) -> Column:
     """The value of a text that is a number as a whole (nan and infinity are), else null."""
 
     def value(bare: Column) -> Column:
-        plain = F.replace(F.when(bare.rlike(r"[^\x00-\x7F]"), F.translate(bare, DIGITS, VALUES)).otherwise(bare), F.lit("_"), F.lit(""))
-        return F.when(bare.rlike("(?U)" + FLOAT), F.regexp_replace(plain, "(?i)inf(inity)?", "Infinity").try_cast("double"))
+        text = F.regexp_replace(F.replace(_plain(bare), F.lit("_"), F.lit("")), "(?i)inf(inity)?", "Infinity")
+        return F.when(bare.rlike(SIMPLE), bare.try_cast("double")).when(bare.rlike("(?U)" + FLOAT), text.try_cast("double"))
 
     return once([strip(c)], value)
 
 
-def numeric_equal(a: Column, b: Column) -> Column:
-    """Numbers within an absolute tolerance, other texts by equality after trimming; false if either is none. Nothing is
-    within a tolerance of nan or infinity."""
+def _close(x: Column, y: Column) -> Column:
+    """Nothing is within a tolerance of nan or infinity."""
+    return ~F.isnan(x - y) & (F.abs(x - y) < TOLERANCE)
 
-    def close(x: Column, y: Column) -> Column:
-        return ~F.isnan(x - y) & (F.abs(x - y) < TOLERANCE)
+
+def numeric_equal(a: Column, b: Column) -> Column:
+    """Numbers within an absolute tolerance, other texts by equality after trimming; false if either is none."""
 
     def equal(x: Column, y: Column) -> Column:
-        return once([number(x), number(y)], lambda p, q: F.when(p.isNotNull() & q.isNotNull(), close(p, q)).otherwise(strip(x) == strip(y)))
+        return once([number(x), number(y)], lambda p, q: F.when(p.isNotNull() & q.isNotNull(), _close(p, q)).otherwise(strip(x) == strip(y)))
 
     return F.coalesce(once([a, b], equal), F.lit(False))
 
 
+def extracted_equal(found: Column, gold: Column) -> Column:
+    """numeric_equal for what a number's pattern has matched, and a gold answer's number(): a text that isn't a number can't
+    equal one that is."""
+    return F.coalesce(_close(_plain(found).try_cast("double"), gold), F.lit(False))
+
+
 def reference(truth: Column) -> Column:
     """A gold answer: its hash number, else its last number, else its text."""
     return F.coalesce(first_hash(truth), last_number(truth), truth)
 
 
+def gold_number(truth: Column) -> Column:
+    return once([reference(truth)], number)
+
+
 def verdicts(response: Column, truth: Column) -> Column:
     """struct(strict, lenient) with each extraction made once."""
 
     def judged(h: Column, n: Column, gold: Column) -> Column:
-        return F.struct(numeric_equal(h, gold).alias("strict"), numeric_equal(F.coalesce(h, n), gold).alias("lenient"))
+        return F.struct(extracted_equal(h, gold).alias("strict"), extracted_equal(F.coalesce(h, n), gold).alias("lenient"))
 
-    return once([response, truth], lambda r, g: once([first_hash(r), last_number(r), reference(g)], judged))
+    return once([first_hash(response), last_number(response), gold_number(truth)], judged)
 
 
 # verdicts
 
 
 def strict(response: Column, truth: Column) -> Column:
-    return numeric_equal(first_hash(response), reference(truth))
+    return once([first_hash(response), gold_number(truth)], extracted_equal)
 
 
 def lenient(response: Column, truth: Column) -> Column:
-    return numeric_equal(F.coalesce(first_hash(response), last_number(response)), reference(truth))
+    return once([F.coalesce(first_hash(response), last_number(response)), gold_number(truth)], extracted_equal)
 
 
 def boxed_strict(response: Column, truth: Column) -> Column:
-    return numeric_equal(last_number(boxed(response)), reference(truth))
+    return once([last_number(boxed(response)), gold_number(truth)], extracted_equal)
 
 
 def novel_strict(response: Column, truth: Column) -> Column:
-    return numeric_equal(novel(response), reference(truth))
+    return once([novel(response), gold_number(truth)], extracted_equal)
 
 
 def boxed_reward(response: Column, truth: Column, score: float = 1.0, format_score: float = 0.0, method: str = "strict") -> Column:
@@ -225,10 +245,10 @@ def score_struct(response: Column, truth: Column) -> Column:
     """The same as one struct, with each extraction made once."""
 
     def judged(r: Column, first: Column, final: Column, n: Column, gold: Column) -> Column:
-        fields = (numeric_equal(first, gold), numeric_equal(final, gold), numeric_equal(F.coalesce(first, n), gold), numeric_equal(n, gold), first.isNotNull(), F.contains(r, F.lit("####")), first, final, n)
+        fields = (extracted_equal(first, gold), extracted_equal(final, gold), extracted_equal(F.coalesce(first, n), gold), extracted_equal(n, gold), first.isNotNull(), F.contains(r, F.lit("####")), first, final, n)
         return F.struct(*[c.alias(name) for name, c in zip(SCORE_FIELDS, fields, strict=True)])
 
-    return once([response, truth], lambda r, g: once([r, first_hash(r), last_hash(r), last_number(r), reference(g)], judged))
+    return once([response, first_hash(response), last_hash(response), last_number(response), gold_number(truth)], judged)
 
 
 Verdict = Callable[[Column, Column], Column]

@@ -27,37 +27,63 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_MADE: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/gaugeworks/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/gaugeworks/{label}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_freed(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end all scratch made within it, but for paths that its caller takes out of the list."""
+    _MADE.append(made := [])
+    try:
+        yield made
+    finally:
+        del _MADE[next(i for i, x in enumerate(_MADE) if x is made)]
+        drop_scratch(spark, *made)
 
 
 @contextlib.contextmanager
 def files_freed(spark: SparkSession) -> Iterator[None]:
-    """Within it, Spark deletes a query's shuffle files as soon as the query ends: for writes, which nobody repeats."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    """For writes, which nobody repeats: within it, Spark deletes a query's shuffle files as soon as the query ends, and
+    Arrow batches are small, since a worker and its executor each hold several."""
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and no executor's loss undoes it."""
+def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and no executor's loss undoes it.
+    Also the path, for drop_scratch once nothing reads it any more."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     with files_freed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The same, for tables that a result reads until the end; `scratch_freed` can delete these."""
+    return stored_at(df, label)[0]
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder through Hadoop's file system, so any store works."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def drop_scratch(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch folders through Hadoop's file system, so any store works."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def word_count(text: Column) -> Column:

@@ -3,7 +3,7 @@
 A fingerprint is cut into budget + 1 segments on a ring. If two fingerprints differ in at most `budget` bits, some
 segment starts a chain in which the first l segments differ in at most l - 1 bits, for every l. The first two segments of
 a chain are the join key: equal in the first, within one bit in the second (all such variants are written on one side).
-Runs of equal keys stream past in sorted order; the chain ends there: all candidates get the full Hamming check.
+Runs of equal keys stream past in sorted order; candidates that go on along the chain get the full Hamming check.
 Runs with many candidates are searched breadth-first, so a group of n near copies gives n - 1 links, not all its pairs.
 
 Equal fingerprints collapse before the join, and classes are the connected components of the links.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import stored
+from gaugeworks.llm.common import drop_scratch, stored, stored_at
 from gaugeworks.llm.components import components
 from gaugeworks.llm.words import word_pieces, xxh64
 
@@ -86,19 +86,38 @@ def keys_batch(fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(of)
 
 
+def chain_masks(budget: int) -> np.ndarray:
+    """masks[i, l - 1]: the bits of the l segments from segment i on, around the ring."""
+    own = np.array([((1 << width) - 1) << shift for shift, width in _segments(budget)], np.uint64)
+    return np.array([[np.bitwise_or.reduce(np.roll(own, -i)[: n + 1]) for n in range(len(own))] for i in range(len(own))])
+
+
+def on_chain(diff: np.ndarray, start: np.ndarray, budget: int) -> np.ndarray:
+    """Which of the differences of candidates go on along the chain from segment `start`: their first l segments differ in
+    at most l - 1 bits, for l from 3 (a key has the first two) up to all but the last, whose test is the Hamming check."""
+    masks, left = chain_masks(budget), np.arange(len(diff))
+    for n in range(2, budget):
+        left = left[np.bitwise_count(diff[left] & masks[start[left], n]) <= n]
+    return left
+
+
 def _search(fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges of the components of fps (distinct) under `budget` bits, by breadth-first search in blocks."""
+    """Tree edges of the components of fps (distinct) under `budget` bits, by breadth-first search in blocks. All of a run's
+    pairs within budget are links, whether this run's chain or another's leads to them."""
     rest, a, b = fps, [], []
     while len(rest):
-        centre, front, rest = rest[0], rest[:1], rest[1:]
+        front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
-            near = np.zeros(len(rest), bool)
-            rows = max(1, PAIRS // len(rest))
-            for at in range(0, len(front), rows):
-                near |= (np.bitwise_count(front[at : at + rows, None] ^ rest[None, :]) <= budget).any(axis=0)
-            front, rest = rest[near], rest[~near]
-            a.append(front)
-            b.append(np.full(len(front), centre))
+            next_front, at = [], 0
+            while at < len(front) and len(rest):
+                block = front[at : at + max(1, PAIRS // len(rest))]
+                near = np.bitwise_count(block[:, None] ^ rest[None, :]) <= budget
+                hit = near.any(axis=0)
+                a.append(rest[hit])
+                b.append(block[near[:, hit].argmax(axis=0)])
+                next_front.append(rest[hit])
+                rest, at = rest[~hit], at + len(block)
+            front = np.concatenate(next_front)
     none = np.zeros(0, np.uint64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
@@ -128,7 +147,10 @@ def links_of_runs(key: np.ndarray, fp: np.ndarray, budget: int, wide: int = 4096
             continue
         left = np.repeat(fp[r], n)
         right = fp[np.repeat(begins[of[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        near = (left < right) & (np.bitwise_count(left ^ right) <= budget)
+        apart = np.flatnonzero(left < right)  # the other way round they meet again
+        start = (np.repeat(run[r], n)[apart] >> np.uint64(57)).astype(np.int64)
+        near = apart[on_chain(left[apart] ^ right[apart], start, budget)]
+        near = near[np.bitwise_count(left[near] ^ right[near]) <= budget]
         a.append(left[near])
         b.append(right[near])
     none = np.zeros(0, np.uint64)
@@ -180,22 +202,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFra
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near-duplicate texts: texts that share one of their rarest word shingles are candidates, whose shingles are then compared.
+# Near-duplicate texts. SimHash links, confirmed by shingles, join most of a group. The rest, which fingerprints can miss, share
+# one of their rarest shingles.
 
 #: A run with more matches per member than this is compared with hubs first.
 MATCHES = 16
-HUBS = 4
-#: Passes with hubs, before the one that compares all that is left.
-HUB_PASSES = 3
+#: Hubs of the first pass; each pass has so many times more.
+HUBS, MORE = 16, 16
 #: Documents whose shingles are counted, to know common ones, and how many of these are told apart.
 COUNTED, COMMON = 20_000, 1 << 16
 #: Places of a run that are compared at once, and pairs that are held: a worker keeps several arrays of that length.
 PLACES = 1 << 16
 
 
-def text_node(text: Column) -> Column:
-    """A 60-bit number of the text: equal texts are one node."""
-    return F.conv(F.left(F.md5(F.coalesce(text, F.lit(""))), F.lit(15)), 16, 10).cast("long")
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the text (null: empty), which stands for it: 32 bytes."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def shingle_sets(column: pa.Array, words: int) -> pa.Array:
@@ -228,10 +250,9 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return np.array([r.shingle for r in reversed(rows)], np.int64)
 
 
-def prefixes(column: pa.Array, words: int, similarity: float, common: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Each text's number of distinct shingles, and the first of them in an order that all texts share (common ones last).
-    Sets with a Jaccard similarity of at least `similarity` share one of these. A text without shingles has a 0."""
-    sets = shingle_sets(column, words)
+def prefixes(sets: pa.Array, similarity: float, common: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Each set's size, and the first of its shingles in an order that all texts share (common ones last). Sets with a Jaccard
+    similarity of at least `similarity` share one of these. A text without shingles has a 0."""
     ends = sets.offsets.to_numpy()
     h, size = sets.values.to_numpy(), np.diff(ends)
     by_hash = np.argsort(common)
@@ -259,9 +280,9 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
-def _matches(node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of one run that may be similar and are of different groups. In a dense run, unless `whole` is asked for,
-    pairs with a few hubs only (the least nodes outside the largest group), and each node with itself."""
+def _matches(node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float, hubs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one run that may be similar and are of different groups. In a dense run, only the pairs with `hubs`
+    of its nodes, those with the fewest rarer shingles, and each node with itself."""
 
     def near(rows: np.ndarray) -> np.ndarray:
         return (group[rows, None] != group[None, :]) & _may(size[rows, None], place[rows, None], size[None, :], place[None, :], similarity)
@@ -271,17 +292,18 @@ def _matches(node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.nd
         own = np.arange(at, min(at + block, len(node)))
         i, j = np.nonzero(near(own) & (node[own, None] < node[None, :]))
         found += len(i)
-        if whole:
-            yield node[own[i]], node[j]
-        elif found > MATCHES * len(node):
-            names, sizes = np.unique(group, return_counts=True)
-            outside = np.arange(len(node)) if sizes.max() == 1 else np.flatnonzero(group != names[sizes.argmax()])
-            hubs = outside[np.argsort(node[outside], kind="stable")[:HUBS]]
-            i, j = np.nonzero(near(hubs))
-            yield np.concatenate([node[hubs[i]], node]), np.concatenate([node[j], node])
+        if found > MATCHES * len(node) and hubs < len(node):
+            chosen = np.lexsort((node, place))[:hubs]
+            for low in range(0, hubs, block):
+                part = chosen[low : low + block]
+                i, j = np.nonzero(near(part))
+                yield node[part[i]], node[j]
+            yield node, node
             return
-        else:
+        if hubs < len(node):
             held.append((node[own[i]], node[j]))
+        else:
+            yield node[own[i]], node[j]
     yield from held
 
 
@@ -300,9 +322,9 @@ def _small_runs(begins: np.ndarray, n: np.ndarray, node: np.ndarray, group: np.n
         yield node[x[keep]], node[y[keep]]
 
 
-def candidate_pairs(nodes: DataFrame, similarity: float, whole: bool) -> DataFrame:
+def candidate_pairs(nodes: DataFrame, similarity: float, hubs: int) -> DataFrame:
     """(a, b), a < b: nodes (columns node, group, size, prefix) of different groups that share a shingle of their prefixes. A row
-    with a = b marks a node of a dense run, whose pairs aren't all there."""
+    with a = b marks a node of a dense run, whose pairs aren't all there: those with its hubs are."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,7 +347,7 @@ def candidate_pairs(nodes: DataFrame, similarity: float, whole: bool) -> DataFra
             few = (n > 1) & (n <= 2 * MATCHES + 1)  # can't be dense
             yield from _small_runs(begins[few], n[few], *columns, similarity)
             for i in np.flatnonzero(n > max(1, 2 * MATCHES + 1)):
-                yield from _matches(*(x[begins[i] : begins[i] + n[i]] for x in columns), similarity, whole)
+                yield from _matches(*(x[begins[i] : begins[i] + n[i]] for x in columns), similarity, hubs)
 
         def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             got, total = [], 0
@@ -354,82 +376,108 @@ def candidate_pairs(nodes: DataFrame, similarity: float, whole: bool) -> DataFra
     return rows.repartition("run").sortWithinPartitions("run").mapInArrow(join, "a long, b long").distinct()
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`."""
+def simhash_pairs(nodes: DataFrame, budget: int) -> DataFrame:
+    """(a, b): nodes (columns node, fp) whose fingerprints the pigeonring filter links, n - 1 pairs for a group of n."""
+    least = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    same = nodes.join(least, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(least, budget).distinct()
+    ends = [least.select(F.col("fp").alias(of), F.col("first").alias(name)) for of, name in (("a", "x"), ("b", "y"))]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.union(near)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                yield pa.record_batch([part.column(0), shingle_sets(part.column(1), words).cast(pa.list_(pa.int64()))], names=["node", "shingles"])
+
+def similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`; blank texts are alike."""
+
+    def own_sets(node: pa.Array, text: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Which set is whose: each node's text is worked on once."""
+        _, first, which = np.unique(node.to_numpy(), return_index=True, return_inverse=True)
+        return which, shingle_sets(text.take(pa.array(first)), words)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                x, y = (b.column(c)[i].values.to_numpy() for c in (2, 3))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                whole = len(x) + len(y) - shared
-                keep[i] = whole == 0 or shared >= similarity * whole - 1e-9
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                (i, x), (j, y) = (own_sets(part.column(k), part.column(k + 2)) for k in (0, 1))
+                keep = np.zeros(part.num_rows, bool)
+                for k in range(part.num_rows):
+                    one, two = x[i[k]].values.to_numpy(), y[j[k]].values.to_numpy()
+                    shared = len(np.intersect1d(one, two, assume_unique=True))
+                    whole = len(one) + len(two) - shared
+                    keep[k] = whole == 0 or shared >= similarity * whole - 1e-9
+                yield part.select(["a", "b"]).filter(pa.array(keep))
 
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # one document of each text: thousands of copies aren't sent
-    chosen = nodes.join(asked, "node", "left_semi").select(F.col("node").alias("n"), "least")
-    own = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["least"]) & (texts["node"] == chosen["n"]), "left_semi")
-    own = own.groupBy("node").agg(F.max("text").alias("text")).mapInArrow(sets, "node long, shingles array<long>")
-    own = stored(own, "shingles")
-    left = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(compare, "a long, b long")
-
-
-def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, node, component_id: classes of texts linked by a shingle similarity (Jaccard) of at least `similarity`.
-
-    Candidates share one of the first shingles in an order that puts common ones last: as many that two texts with that
-    similarity can't miss each other. Each candidate pair is then compared by all its `words`-word shingles. Groups of
-    thousands of near copies are first compared with a few of their own; what that leaves apart is compared in later
-    passes, the last of which takes all pairs that are left, so no class is missed for a group's size.
+    # one document of each text: thousands of copies aren't sent. Texts are sent, since hashes don't compress
+    chosen, chosen_at = stored_at(nodes.join(asked, "node", "left_semi").select("node", F.col("digest").alias("d"), "least"), "asked")
+    own = texts.join(chosen, (texts["digest"] == chosen["d"]) & texts["doc_id"].eqNullSafe(chosen["least"]))
+    own, own_at = stored_at(own.groupBy("node").agg(F.max("text").alias("text")), "asked-texts")
+    left = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    both = left.join(own.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    out = stored(both.mapInArrow(compare, "a long, b long"), "links")
+    drop_scratch(pairs.sparkSession, chosen_at, own_at)
+    return out
+
+
+def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
+    """doc_id, digest, root, component_id: classes of texts linked by a shingle similarity (Jaccard) of at least `similarity`.
+
+    The pigeonring filter's SimHash links come first and join most of a group of near copies, each confirmed by all the
+    `words`-word shingles of its two texts. Similar texts whose fingerprints differ in more than `budget` bits share one
+    of their first shingles in an order that puts common ones last: as many that two such texts can't miss each other.
+    Those pairs, if no link joins them yet, are compared in the same way. A run of texts that leaves too many pairs is
+    first compared with a few hubs, then, if links leave pairs apart still, with 16 times as many, and so on until all
+    are compared: no link between classes is lost, and no task lists the pairs of a linked group.
+
+    Null, empty and blank texts are similar to each other and to no other text; a text with fewer words than a shingle is
+    one shingle; null doc_ids and repeated rows are rows like any other; extra columns are left out.
     """
-    d = docs.select("doc_id", text_node(F.col("text")).alias("node"), "text")
+    d = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), "text")
     common = common_shingles(d, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                size, first = prefixes(part.column(2), words, similarity, common)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(size.astype(np.int32)), first], names=["doc_id", "node", "size", "prefix"])
-
-    prints = stored(d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, node long, size int, prefix array<long>"), "prefixes")
-    nodes = stored(prints.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("least")), "texts")
-    links, found, rows = None, None, nodes.select("node", F.col("node").alias("group"), "size", "prefix")
-    for n in range(HUB_PASSES + 1):
-        pairs = stored(candidate_pairs(rows, similarity, n == HUB_PASSES), "candidates")
-        own = stored(_similar(pairs.where("a < b"), d, nodes, words, similarity), "links")
-        links = own if links is None else links.union(own)
-        found = components(links)
-        dense = pairs.where("a = b").select(F.col("a").alias("node"))
+                size, first = prefixes(shingle_sets(part.column(2), words), similarity, common)
+                fp = fingerprint_batch(part.column(2), words).view(np.int64)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(size.astype(np.int32)), first, pa.array(fp)], names=["doc_id", "digest", "size", "prefix", "fp"])
+
+    prints = d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, digest binary, size int, prefix array<long>, fp long")
+    distinct = prints.groupBy("digest").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp"), F.min("doc_id").alias("least"))
+    nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")  # fixed by the write
+    pairs, pairs_at = stored_at(simhash_pairs(nodes, budget), "fingerprint-pairs")
+    found = components(similar(pairs, d, nodes, words, similarity))
+    drop_scratch(docs.sparkSession, pairs_at)
+    hubs, own = HUBS, nodes
+    while True:
+        rows = own.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("root", "node").alias("group"), "size", "prefix")
+        pairs, pairs_at = stored_at(candidate_pairs(rows, similarity, hubs), "candidates")
+        more = similar(pairs.where("a < b"), d, nodes, words, similarity)
+        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        dense = stored(pairs.where("a = b").select(F.col("a").alias("node")), "dense")
+        drop_scratch(docs.sparkSession, pairs_at)
         if not dense.limit(1).count():
             break
-        # again, among the nodes of dense runs, for pairs that no link joins yet
-        rows = nodes.join(dense, "node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "size", "prefix")
-    named = nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+        own, hubs = nodes.join(dense, "node", "left_semi"), hubs * MORE
+    named = nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
     named = stored(named, "text-classes")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(ids, "root").select(F.col("node").alias("n"), "root", "component_id")
-    return prints.join(classes, prints["node"] == classes["n"]).select("doc_id", "node", "root", "component_id")
+    classes = named.join(ids, "root").select("digest", "root", "component_id")
+    return d.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents with the smallest doc_id of each class of near-duplicate texts, with all of their columns."""
+    """The documents with the smallest doc_id of each class of near-duplicate texts, with all of their columns.
+
+    Null doc_ids count as larger than all others. Of rows with that doc_id and the same text one stays. Blank texts are one
+    class; an empty table stays empty; extra columns are kept, whatever their names.
+    """
     classes = near_duplicate_texts(docs, words, similarity)
-    # a class's smallest doc_id, and one of the texts under it; null doc_ids count as larger than all others
-    chosen = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("one")).select(F.col("one.doc_id").alias("_id"), F.col("one.node").alias("_node"))
-    rows = docs.withColumn("_text_node", text_node(F.col("text")))
-    kept = rows.join(chosen, (rows["_text_node"] == chosen["_node"]) & rows["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
-    repeats = classes.groupBy("doc_id", "node").count().where("count > 1").limit(1).count()
-    if repeats:  # rows that share doc_id and text
-        kept = kept.dropDuplicates(["doc_id", "_text_node"])
-    return kept.select(*docs.columns)
+    # a class's smallest doc_id, and one of the texts under it
+    chosen = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("one")).select(F.col("one.doc_id").alias("id"), F.col("one.digest").alias("d"))
+    rows = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = rows.join(chosen, (rows["digest"] == chosen["d"]) & rows["doc_id"].eqNullSafe(chosen["id"]), "left_semi")
+    if classes.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():  # rows that share doc_id and text
+        kept = kept.dropDuplicates(["doc_id", "digest"])
+    return kept.select("row.*")

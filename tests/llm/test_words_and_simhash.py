@@ -7,7 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from gaugeworks.llm import components as C
 from gaugeworks.llm import simhash
 from gaugeworks.llm.components import components
 from gaugeworks.llm.words import word_pieces, xxh64
@@ -68,7 +70,10 @@ def test_fingerprints():
     assert [int(x) for x in simhash.fingerprint_batch(pa.array(TEXTS, pa.string()), 3)] == [fingerprint(t) for t in TEXTS]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1 << 19, 1, 40])
+def test_components(spark, monkeypatch, local):
+    """Also where a task takes so few edges that joins have to do it."""
+    monkeypatch.setattr(C, "LOCAL_EDGES", local)
     edges = [(R.randrange(120), R.randrange(120)) for _ in range(80)] + [(i, i + 1) for i in range(200, 260)] + [(300, i) for i in range(301, 340)] + [(5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = classes(340, lambda i, j: (i, j) in set(edges) or (j, i) in set(edges))
@@ -99,6 +104,26 @@ def test_dense_runs_are_searched():
         assert classes(len(fps), lambda i, j, e=edges: tuple(sorted((int(fps[i]), int(fps[j])))) in e) == want
 
 
+def test_chain_prunes_before_the_hamming_check():
+    """Of candidates by the first two segments, the chain keeps all within budget that start there, and drops most others."""
+    rng = np.random.default_rng(2)
+    left = rng.integers(0, 2**64, 20000, dtype=np.uint64)
+    start = rng.integers(0, 4, len(left))
+    masks = simhash.chain_masks(3)
+    assert [[int(m).bit_count() for m in row] for row in masks] == [[16, 32, 48, 64]] * 4
+    diff = rng.integers(0, 2**64, len(left), dtype=np.uint64) & left & ~masks[start, 1]
+    kept = set(simhash.on_chain(diff, start, 3).tolist())
+
+    def goes_on(d, i):
+        return all((int(d) & int(masks[i, n])).bit_count() <= n for n in range(3))
+
+    assert kept == {k for k in range(len(diff)) if goes_on(diff[k], start[k])}
+    assert 0 < len(kept) < len(diff) / 2
+    for _ in range(500):  # whatever is within budget starts a chain somewhere
+        d = sum(1 << int(b) for b in set(rng.integers(0, 64, 3).tolist()))
+        assert any(goes_on(d, i) and not d & int(masks[i, 0]) for i in range(4))
+
+
 def test_degenerate_tables(spark, documents):
     assert simhash.near_duplicates(documents([])).count() == 0
     got = simhash.near_duplicates(documents(["a b c d", None, "a b c d", "x"], ids=[7, None, 7, 3])).collect()
@@ -113,8 +138,9 @@ def jaccard(a, b):
 
 @pytest.mark.parametrize("matches", [16, 0])
 def test_near_texts_equal_all_pairs(spark, documents, monkeypatch, matches):
-    """Also where every run counts as dense, so that all passes are taken."""
+    """Also where every run counts as dense and has one hub at first, so that several passes are taken."""
     monkeypatch.setattr(simhash, "MATCHES", matches)
+    monkeypatch.setattr(simhash, "HUBS", 16 if matches else 1)
     words = [f"w{R.randrange(5000)}" for _ in range(300)]
     copies = []
     for i in range(60):
@@ -147,6 +173,28 @@ def test_near_texts_with_passages_added_or_cut(spark, documents, monkeypatch, ma
     assert got == dict(enumerate(want))
 
 
+def test_copies_of_one_text_give_few_pairs(spark, documents, monkeypatch):
+    """No pass lists the pairs of a linked group, and texts that stand apart in it are still compared with all."""
+    sent = []
+    real = simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda pairs, *a: (sent.append(pairs.count()), real(pairs, *a))[1])
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base[:k] + [f"x{i}"] + base[k + 1 :]) for i, k in enumerate(R.choices(range(100), k=300))]
+    texts += [" ".join(base[:k] + [f"y{k}"] * 3 + base[k + 3 :] + [f"z{k}"] * 14) for k in range(0, 90, 3)]
+    want = classes(len(texts), lambda i, j: jaccard(texts[i], texts[j]))
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicate_texts(documents(texts)).collect()} == dict(enumerate(want))
+    assert sum(sent) < 30 * len(texts)
+
+
+def test_keep_one_with_clashing_columns(spark, documents):
+    d = documents(["a b", "c", None, ""], ids=[1, 2, 3, 4])
+    for name in ("digest", "row", "node", "root", "id", "d", "a.b", "_text_node"):
+        d = d.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    kept = simhash.keep_one(d)
+    assert kept.columns == d.columns
+    assert sorted((r.doc_id, r.digest, r["a.b"], r._text_node) for r in kept.collect()) == [(i, f"digest{i}", f"a.b{i}", f"_text_node{i}") for i in (1, 2, 3)]
+
+
 def test_keep_one(spark, documents):
     t = " ".join(f"w{i}" for i in range(100))
     d = documents([t, t, t.replace("w50", "z"), "other text here that is not alike at all", "other"], ids=[5, 3, 4, 9, 9])

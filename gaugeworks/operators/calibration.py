@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.readers import strip
+
 INTERVAL = ("lower_estimate", "upper_estimate", "ci_low", "ci_high")
 
 
@@ -106,11 +108,51 @@ def human_value(status: Column, correctness: Column) -> Column:
     return F.when(status == "NO_ANSWER", 0).when(clear, (correctness == "CORRECT").cast("int"))
 
 
+# What two annotators' labels are compared by, and the reason that stands for a review not made.
+FLAGS = ("has_self_correction", "has_conflicting_answer_fields", "old_answer_explicitly_withdrawn", "reference_issue")
+SLOTS = ("R1", "R2", "R3")
+NOT_REVIEWED = "INDEPENDENT_A_B_AGREEMENT_NOT_SELECTED_FOR_AUDIT"
+
+
 def endpoints(h: Column) -> dict[str, Column]:
     """Binary endpoints that bound an unresolved value from both sides."""
     return {"h_lower": F.coalesce(h == 1, F.lit(False)), "h_upper": F.coalesce(h != 0, F.lit(True)), "unresolved": h.isNull()}
 
 
+def label_endpoints(readers: tuple[str, ...]) -> dict[str, Column]:
+    """All binary endpoints of a label row as 0 or 1: twelve, and three a reader."""
+    col = F.col
+    same = lambda field: col(f"A_{field}").eqNullSafe(col(f"B_{field}"))
+    flags = F.lit(True)
+    for field in (*FLAGS, *(f"fidelity_{s}" for s in SLOTS)):
+        flags = flags & same(field)
+    clear, equal = col("final_status") == "CLEAR_ANSWER", col("A_B_answer_equivalence")
+    reason = F.coalesce(strip(col("adjudication_reason")), F.lit(""))
+    out = endpoints(human_value(col("final_status"), col("final_answer_correct"))) | {
+        "clear": clear,
+        "status_agreement": same("status"),
+        "correctness_agreement": same("answer_correct"),
+        "answer_lower": equal == "EQUIVALENT",
+        "answer_upper": equal != "DIFFERENT",
+        "raw_agreement": same("status") & same("answer_correct") & flags & (equal == "EQUIVALENT"),
+        "adjudication": col("agreement_type") != "FULL_AGREEMENT",
+        "reviewed": (reason != "") & (col("adjudication_reason") != NOT_REVIEWED),
+        "reference_issue": (col("A_reference_issue") == "POSSIBLE_REFERENCE_ERROR") | (col("B_reference_issue") == "POSSIBLE_REFERENCE_ERROR"),
+    }
+    for reader in readers:
+        fidelity = col(f"{reader}_fidelity")
+        out |= {f"{reader}_fidelity_lower": clear & (fidelity == "FAITHFUL"), f"{reader}_fidelity_upper": clear & fidelity.isin("FAITHFUL", "UNRESOLVED"), f"{reader}_fidelity_unresolved": clear & (fidelity == "UNRESOLVED")}
+    return {name: c.cast("int") for name, c in out.items()}
+
+
+def completion(labels: DataFrame, by: list[str]) -> DataFrame:
+    """labels, filled and status per group: pending without a final status, complete with all, else partial (an error to
+    whoever analyses)."""
+    filled = F.count_if(F.coalesce(F.col("final_status"), F.lit("")) != "")
+    out = labels.groupBy(*by).agg(F.count(F.lit(1)).alias("labels"), filled.alias("filled"))
+    return out.withColumn("status", F.when(F.col("filled") == 0, "PENDING_HUMAN_LABELS").when(F.col("filled") == F.col("labels"), "COMPLETE").otherwise("PARTIAL"))
+
+
 def strata_histogram(rows: DataFrame, state: str, bits: Column, cap: int) -> DataFrame:
     """state, bits, N and sampled = min(cap, N)."""
     return rows.groupBy(state, bits.alias("bits")).agg(F.count(F.lit(1)).alias("N")).withColumn("sampled", F.least(F.col("N"), F.lit(cap)))
@@ -154,7 +196,7 @@ def duplicate_groups(rows: DataFrame, row_id: str, text: Column) -> DataFrame:
     return rows.groupBy(F.sha2(text, 256).alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.min(row_id).alias("first_id")).where("copies > 1")
 
 
-#: Comparisons and coefficients of states.
+# Comparisons and coefficients of states.
 GAINS = {
     "qwen15": {"qwen15_base": -1.0, "qwen15_rl": 1.0},
     "smol": {"smol_base": -1.0, "smol_rl": 1.0},
@@ -173,6 +215,27 @@ def gains(accuracies: DataFrame, comparisons: dict[str, dict[str, float]] = GAIN
     return joined.groupBy("comparison", "reader").agg(F.round(F.sum(F.col("coefficient") * F.col("accuracy")), 9).alias("reader_gain"), F.count(F.lit(1)).alias("_n"), F.max("terms").alias("_t")).where("_n = _t").drop("_n", "_t")
 
 
+def gains_table(states: DataFrame, readers: DataFrame, comparisons: dict[str, dict[str, float]] = GAINS) -> DataFrame:
+    """comparison, reader, reader_gain and intervals human_gain, gap (reader minus human), fn_recovery, fp_increase.
+
+    states: state, human (interval); readers: state, reader, accuracy, joint_fp, joint_fn (intervals). Comparisons whose
+    states aren't all there are left out."""
+    rows = [(name, state, c, len(terms)) for name, terms in comparisons.items() for state, c in terms.items()]
+    terms = F.broadcast(states.sparkSession.createDataFrame(rows, "comparison string, state string, coefficient double, terms int"))
+    c = F.col("coefficient")
+    joined = readers.join(states, "state").join(terms, "state")
+    out = joined.groupBy("comparison", "reader").agg(
+        F.sum(c * F.col("accuracy")).alias("reader_gain"),
+        linear_aggregate(c, F.col("human")).alias("human_gain"),
+        linear_aggregate(-c, F.col("joint_fn")).alias("fn_recovery"),
+        linear_aggregate(c, F.col("joint_fp")).alias("fp_increase"),
+        F.count(F.lit(1)).alias("_n"),
+        F.max("terms").alias("_t"),
+    )
+    gap = linear([(1.0, exact(F.col("reader_gain"))), (-1.0, F.col("human_gain"))])
+    return out.where("_n = _t").drop("_n", "_t").withColumn("gap", gap)
+
+
 def claim(gain: Column, fp_increase: Column, recovery: Column, strict_gain: Column) -> dict[str, Column]:
     """Decision rules: a gain wholly above 0, recovery over half of the strict gain, false positives up by 5 points at most."""
     return {"gain_positive": gain["ci_low"] > 0, "majority_recovered": F.coalesce(F.try_divide(recovery["ci_low"], strict_gain) > 0.5, F.lit(False)), "fp_within_5pp": fp_increase["ci_high"] <= 0.05}

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.readers import strip
+
 
 class GateError(ValueError):
     pass
@@ -64,6 +66,58 @@ FIDELITIES = ("FAITHFUL", "UNFAITHFUL", "UNRESOLVED", "NOT_APPLICABLE")
 AGREEMENTS = ("FULL_AGREEMENT", "ANSWER_DISAGREEMENT", "STATUS_DISAGREEMENT", "CORRECTNESS_DISAGREEMENT", "MULTIPLE_DISAGREEMENTS")
 
 
+def label_vocabularies(applies: tuple[str, ...] = ("A_", "B_")) -> dict[str, tuple[Column, Column]]:
+    """The domains of a label row's further fields."""
+    yes_no, text = ("YES", "NO"), ("committed_answer", "evidence_span", "notes")
+    col, always = F.col, F.lit(True)
+    rules = {c: (always, col(c).isin(*yes_no)) for c in ("final_has_conflict", "final_self_correction")}
+    for who in applies:
+        domains = {"status": STATUSES, "answer_correct": CORRECTNESS, "has_self_correction": yes_no, "has_conflicting_answer_fields": yes_no, "old_answer_explicitly_withdrawn": (*yes_no, "N/A"), "reference_issue": ("NO", "POSSIBLE_REFERENCE_ERROR")}
+        rules |= {f"{who}{c}": (always, col(f"{who}{c}").isin(*values)) for c, values in domains.items()}
+        rules |= {f"{who}{c}": (always, col(f"{who}{c}").isNotNull()) for c in text}
+    return rules
+
+
+def population_violations(strata: DataFrame, samples: DataFrame, accuracies: DataFrame) -> DataFrame:
+    """gate, detail over states' strata (state, bits, size, quota, population), samples (state, stratum) and stated reader
+    accuracies (state, position, accuracy): sums, quotas, observed counts and the accuracies that strata imply."""
+    at = F.concat_ws("/", "state", "bits")
+    seen = samples.groupBy("state", F.col("stratum").alias("bits")).agg(F.count(F.lit(1)).alias("seen"))
+    both = strata.join(seen, ["state", "bits"], "full")
+    quota, seen_n = F.coalesce("quota", F.lit(0)), F.coalesce("seen", F.lit(0))
+    own = [
+        (F.col("size").isNull(), "unknown stratum"),
+        (~F.col("bits").rlike("^[01]+$"), "bits"),
+        ((F.col("quota") < 0) | (F.col("quota") > F.col("size")) | (F.col("size") > 0) & (F.col("quota") == 0), "unsampled"),
+        (F.col("size").isNotNull() & (quota != seen_n), "quota"),
+    ]
+    found = F.filter(F.array(*[F.when(bad, F.lit(g)) for bad, g in own]), lambda x: x.isNotNull())
+    each = both.select(F.explode(found).alias("gate"), at.alias("detail"))
+    sums = strata.groupBy("state").agg(F.sum("size").alias("s"), F.max("population").alias("p")).where("s <> p").select(F.lit("sum").alias("gate"), F.col("state").alias("detail"))
+    right = F.sum(F.when(F.substring("bits", F.col("position") + 1, F.lit(1)) == "1", F.col("size")).otherwise(0))
+    implied = strata.join(accuracies, "state").groupBy("state", "position").agg((right / F.max("population")).alias("implied"), F.max("accuracy").alias("accuracy"))
+    off = implied.where("NOT coalesce(abs(implied - accuracy) < 1e-10, false)").select(F.lit("accuracy").alias("gate"), F.concat_ws("/", "state", "position").alias("detail"))
+    return each.unionByName(sums).unionByName(off)
+
+
+def archive_differences(now: DataFrame, archived: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+    """keys, count, recomputed, archived of every count that differs, or that one side lacks."""
+    long = lambda d, name: d.select(*keys, *[F.col(c).cast("long").alias(c) for c in counts]).unpivot(keys, counts, "count", name)
+    return long(now, "recomputed").join(long(archived, "archived"), [*keys, "count"], "full").where("NOT recomputed <=> archived")
+
+
+def signer_violations(locks: DataFrame, adjudicator: str | None) -> DataFrame:
+    """gate, detail over locks (who, stage, signer): annotators who change between stages, aren't distinct, or adjudicate."""
+    name = lambda c: F.lower(strip(c))
+    own = locks.select("who", name(F.col("signer")).alias("signer"))
+    changed = own.groupBy("who").agg(F.count_distinct("signer").alias("k")).where("k > 1").select(F.lit("changed").alias("gate"), F.col("who").alias("detail"))
+    shared = own.groupBy("signer").agg(F.count_distinct("who").alias("k")).where("k > 1").select(F.lit("not distinct").alias("gate"), F.col("signer").alias("detail"))
+    third = name(F.lit(adjudicator).cast("string"))
+    same = own.where(F.col("signer") == third).select(F.lit("adjudicates").alias("gate"), F.col("signer").alias("detail")).distinct()
+    nobody = locks.sparkSession.range(1).where(F.coalesce(third, F.lit("")) == "").select(F.lit("no adjudicator").alias("gate"), F.lit("").alias("detail"))
+    return changed.unionByName(shared).unionByName(same).unionByName(nobody)
+
+
 def _inked(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
 

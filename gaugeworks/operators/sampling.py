@@ -15,6 +15,16 @@ def normalized(strata: DataFrame, weight: Column, out: str) -> DataFrame:
     return strata.withColumn("_w", weight.cast("double")).withColumn(out, F.col("_w") / F.sum("_w").over(Window.partitionBy())).drop("_w")
 
 
+def probability_violations(rows: DataFrame, row_id: str, weight: Column) -> DataFrame:
+    """gate, detail: weights that aren't finite or are negative, and a table without mass."""
+    w = weight.cast("double")
+    finite = w.isNotNull() & ~F.isnan(w) & (F.abs(w) != float("inf"))
+    kind = F.when(~finite, "not finite").when(w < 0, "negative")
+    each = rows.select(kind.alias("gate"), F.col(row_id).cast("string").alias("detail")).where("gate IS NOT NULL")
+    mass = rows.agg(F.coalesce(F.sum(F.when(finite & (w > 0), w)), F.lit(0.0)).alias("m")).where("m <= 0")
+    return each.unionByName(mass.select(F.lit("no mass").alias("gate"), F.col("m").cast("string").alias("detail")))
+
+
 def epsilon_mixture(strata: DataFrame, adaptive: Column, target: Column, epsilon: float, out: str) -> DataFrame:
     if not 0 < epsilon <= 1:
         raise ValueError("epsilon must be in (0, 1]")
@@ -58,6 +68,56 @@ def importance(target: Column, proposal: Column) -> Column:
     return F.try_divide(target, proposal)
 
 
+def default_draws(items: DataFrame, index: str, stratum: str) -> DataFrame:
+    """What an item counts as when nothing was drawn: uniform target and proposal, weight 1, draw number -1."""
+    size = items.agg((1.0 / F.count(F.lit(1))).alias("p"))  # one row
+    rows = items.select(index, stratum).crossJoin(F.broadcast(size))
+    return rows.select(index, stratum, F.col("p").alias("target_probability"), F.col("p").alias("proposal_probability"), F.lit(1.0).alias("importance_weight"), F.lit(-1).cast("long").alias("draw_number"))
+
+
+def draw_violations(draws: DataFrame, row_id: str, index: str, size: Column, tolerance: float = 1e-12) -> DataFrame:
+    """row_id, gate: an index outside 0 to size - 1, probabilities that aren't positive and finite, weights other than
+    target over proposal (relative tolerance)."""
+    t, q, w = (F.col(c) for c in ("target_probability", "proposal_probability", "importance_weight"))
+    sound = lambda c: c.isNotNull() & ~F.isnan(c) & (c > 0) & (c < float("inf"))
+    fits = F.abs(w - F.try_divide(t, q)) <= tolerance * F.abs(F.try_divide(t, q))
+    gates = [(F.coalesce((F.col(index) >= 0) & (F.col(index) < size), F.lit(False)), "index"), (sound(t), "target_probability"), (sound(q), "proposal_probability"), (~sound(t) | ~sound(q) | (sound(w) & fits), "importance_weight")]
+    found = F.filter(F.array(*[F.when(~ok, F.lit(name)) for ok, name in gates]), lambda g: g.isNotNull())
+    return draws.select(row_id, F.explode(found).alias("gate"))
+
+
+def apply_correction(rows: DataFrame, advantages: str = "advantages", weight: str = "importance_weight") -> DataFrame:
+    """Advantages times weights, once: a table that was corrected says so and is refused."""
+    if "corrected" in rows.columns:
+        raise ValueError("importance correction was applied already")
+    return rows.withColumn(advantages, corrected(F.col(advantages), F.col(weight))).withColumn("corrected", F.lit(True))
+
+
+def weighted_bincount(items: DataFrame, stratum: str, weight: Column, out: str) -> DataFrame:
+    return items.groupBy(stratum).agg(F.sum(weight.cast("double")).alias(out))
+
+
+def per_draw_means(rows: DataFrame, stratum: str, draw: str, value: Column) -> DataFrame:
+    """stratum, draws, mean: means per draw, then over a stratum's draws."""
+    return rows.groupBy(stratum, draw).agg(F.avg(value).alias("_m")).groupBy(stratum).agg(F.count(F.lit(1)).alias("draws"), F.avg("_m").alias("mean"))
+
+
+def metrics(strata: DataFrame, items: DataFrame, rows: DataFrame, *, decay: float, floor: float, exponent: float, epsilon: float) -> DataFrame:
+    """Seven metrics per stratum and the exponent, for one batch of rows.
+
+    strata: stratum, target, second_moment; items: item, stratum, proposal; rows: stratum, draw, item, proxy. The moment
+    moves towards the mean over items of their rows' mean proxy; strata without rows keep theirs."""
+    before = weighted_bincount(items, "stratum", F.col("proposal"), "proposal_mass")
+    drawn = per_draw_means(rows, "stratum", "draw", F.col("proxy"))
+    seen = rows.groupBy("stratum", "item").agg(F.avg("proxy").alias("_m")).groupBy("stratum").agg(F.avg("_m").alias("observed"))
+    one = strata.join(before, "stratum", "left").join(drawn, "stratum", "left").join(seen, "stratum", "left")
+    moved = decay * F.col("second_moment") + (1 - decay) * F.greatest(F.col("observed"), F.lit(floor))
+    one = one.withColumn("next_second_moment", F.when(F.col("observed").isNull(), F.col("second_moment")).otherwise(moved))
+    one = powered_proposal(one, F.col("target"), F.col("next_second_moment"), exponent, "_adaptive")
+    one = epsilon_mixture(one, F.col("_adaptive"), F.col("target"), epsilon, "next_proposal_mass")
+    return one.select("stratum", F.col("target").alias("target_mass"), F.coalesce("proposal_mass", F.lit(0.0)).alias("proposal_mass"), "second_moment", F.coalesce("draws", F.lit(0)).alias("realized_prompt_count"), F.coalesce("mean", F.lit(0.0)).alias("raw_proxy_mean"), "next_proposal_mass", "next_second_moment", F.lit(float(exponent)).alias("proposal_exponent"))
+
+
 def weight_diagnostics(draws: DataFrame, by: list[str]) -> DataFrame:
     """Mean, min and max weight, effective sample size and share, cross-entropy, KL divergence, least proposal."""
     w, q = F.col("importance_weight"), F.col("proposal_probability")

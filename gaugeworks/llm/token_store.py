@@ -19,7 +19,6 @@ of their own; extra columns are left out; an empty table gives an empty store an
 from __future__ import annotations
 
 import hashlib
-import re
 import sys
 import types
 import zlib
@@ -28,31 +27,60 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import drop_scratch, files_freed
+from gaugeworks.llm.words import SPACE, texts_of
 
 WINDOW, LEAST, MOST, CUT_BITS = 16, 32, 2048, 8
-#: Units whose ids a worker remembers.
-REMEMBERED = 700_000
-#: Letters before white space, common punctuation or the end, with the space before them; other runs likewise; white
-#: space but for its last character; a single white space or what ends a text.
-UNIT = re.compile(r" ?[^\W\d_]+(?=[\s.,;:!?#$%&*|<>\"()]|$)| ?\S+|\s+(?=\s\S)|\s+")
-#: Code points that Python takes for white space and tokenizers don't.
-UNCOMMON = ("\x1c", "\x1d", "\x1e", "\x1f")
-BATCH_CHARS = 1 << 20
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The low n bytes of eight.
+BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Units whose ids a worker remembers, and how many bytes of them.
+REMEMBERED, REMEMBERED_BYTES = 1 << 20, 1 << 24
+#: Bytes of a unit that is looked up as two numbers; longer ones are looked up as bytes.
+SHORT = 15
+BATCH_BYTES = 1 << 20
 #: New units encoded as one text.
 TOGETHER = 64
-
-
-class Numbers(dict):
-    """Numbers keys as they are first asked for."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
+#: Marks between letters and which a unit ends (others may belong to a contraction).
+MARKS = np.zeros(256, bool)
+MARKS[list(b".,;:!?#$%&*|<>\"()")] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: First bytes of white space beyond ASCII, of which texts are encoded whole: U+0085, U+00A0, U+1680, U+2000-U+205F, U+3000.
+WIDE = np.zeros(256, bool)
+WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def unit_bounds(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where units begin in texts raw[bounds[i]:bounds[i + 1]], and the end. A run of white space is a unit but for its last
+    character, which is one of its own or, if it's a space, the first of the next unit; letters end before a mark."""
+    n = len(raw)
+    first = np.zeros(n + 1, bool)
+    first[bounds] = True
+    space = SPACE[raw]
+    begin = first.copy()
+    if n > 1:
+        here, before = space[1:], space[:-1]
+        last = np.append(~space[2:] & ~first[2:n], False)  # a word of the same text follows
+        letter = LETTER[raw]
+        letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)  # Latin letters of two bytes
+        begin[1:n] |= (here & (~before | last)) | (~here & before & (raw[:-1] != 0x20)) | (MARKS[raw[1:]] & letter[:-1])
+    return np.flatnonzero(begin)
+
+
+def has_wide_space(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which texts may hold white space beyond ASCII."""
+    at = np.flatnonzero(WIDE[raw])
+    one, two, three = raw[at], np.append(raw, [0, 0])[at + 1], np.append(raw, [0, 0])[at + 2]
+    wide = (one == 0xC2) & ((two == 0x85) | (two == 0xA0)) | (one == 0xE1) & (two == 0x9A) | (one == 0xE2) & ((two == 0x80) | (two == 0x81)) & ((three <= 0x8A) | (three >= 0x9F)) | (one == 0xE3) & (two == 0x80) & (three == 0x80)
+    out = np.zeros(len(bounds) - 1, bool)
+    out[np.searchsorted(bounds, at[wide], "right") - 1] = True
+    return out
 
 
 class UnitEncoder:
@@ -61,14 +89,18 @@ class UnitEncoder:
     Byte-level pre-tokenization splits at all places where units end: it never joins what stands before white space with
     what follows, gives the last space of white space to the word behind it, and splits letters from punctuation. So a
     text's ids are those of its units one after another. New units are encoded as lines of one text: a line feed is a
-    token of its own before any unit without one.
+    token of its own before any unit without one. Texts with white space beyond ASCII or with an added token of the
+    tokenizer are encoded whole.
+
+    Units of up to SHORT bytes are looked up, many at once, in an open-addressing table: two numbers hold a unit's bytes and
+    length, so no two units are taken for each other.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.feed = self.ids_of(["\n"])[0]
         self.forget()
 
@@ -76,13 +108,16 @@ class UnitEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def forget(self) -> None:
-        self.known = Numbers()
+        self.table = np.full(1 << 22, -1, np.int32)  # unit numbers; never over a third full
+        self.keys = np.zeros((2, 1 << 14), np.uint64)  # of unit i; longer units have none
+        self.long: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)  # where unit i's ids end; they begin where those of i - 1 end
-        self.learnt = 0
+        self.learnt = self.held = 0
 
-    def learn(self, units: list[str]) -> None:
-        """The ids of units that were numbered but not encoded yet."""
+    def learn(self, units: list[bytes]) -> None:
+        """The ids of new units, which get the next numbers."""
+        units = [u.decode() for u in units]
         lines = [i for i, u in enumerate(units) if not u.isspace()] if len(self.feed) == 1 else []
         sizes, held = np.zeros(len(units), np.int64), {}
         runs = [lines[i : i + TOGETHER] for i in range(0, len(lines), TOGETHER)]
@@ -108,6 +143,7 @@ class UnitEncoder:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(units) > len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+            self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)], axis=1)
         begins = ends - sizes
         if lines:
             own = sizes[lines]
@@ -116,37 +152,93 @@ class UnitEncoder:
             self.flat[begins[i] : ends[i]] = ids
         self.at[n : n + len(units)] = ends
         self.learnt += len(units)
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, the end id after each text, and where each text's ids begin and the last end."""
-        if self.learnt > REMEMBERED:
+        self.held += sum(map(len, units))
+
+    def look_up(self, head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each short unit, or -1 and the slot where it belongs."""
+        slot = (((head ^ (tail * MIX)) * MIX) >> np.uint64(42)).astype(np.int64)
+        found, left = np.full(len(head), -1, np.int64), np.arange(len(head))
+        while len(left):
+            unit = self.table[slot[left]]
+            left, unit = left[unit >= 0], unit[unit >= 0]
+            same = (self.keys[0, unit] == head[left]) & (self.keys[1, unit] == tail[left])
+            found[left[same]] = unit[same]
+            left = left[~same]
+            slot[left] = (slot[left] + 1) & (len(self.table) - 1)
+        return found, slot
+
+    def numbers(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of every unit raw[begins:ends]; new ones are learnt. raw goes on for 16 bytes."""
+        which, size = np.empty(len(begins), np.int64), ends - begins
+        few = np.flatnonzero(size <= SHORT)
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        own = size[few]
+        head, tail = eight[begins[few]] & BYTES[np.minimum(own, 8)], eight[begins[few] + 8] & BYTES[np.maximum(own - 8, 0)]
+        tail |= own.astype(np.uint64) << np.uint64(56)
+        which[few], slot = self.look_up(head, tail)
+        unknown = np.flatnonzero(which[few] < 0)
+        if len(unknown):
+            order = unknown[np.lexsort((tail[unknown], head[unknown]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (head[order[1:]] != head[order[:-1]]) | (tail[order[1:]] != tail[order[:-1]])
+            one, nth = order[new], np.cumsum(new) - 1
+            numbers = self.learnt + np.arange(len(one))
+            which[few[order]] = numbers[nth]
+            at = few[one]
+            data = raw.tobytes()
+            self.learn([data[a:b] for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)])
+            self.keys[0, numbers], self.keys[1, numbers] = head[one], tail[one]
+            place, left = slot[one], np.arange(len(one))
+            while len(left):  # of those that want one slot, one gets it and the others go on
+                free = left[self.table[place[left]] < 0]
+                self.table[place[free]] = numbers[free]
+                left = left[self.table[place[left]] != numbers[left]]
+                place[left] = (place[left] + 1) & (len(self.table) - 1)
+        many = np.flatnonzero(size > SHORT)
+        if len(many):
+            fresh: list[bytes] = []
+            for i, a, b in zip(many.tolist(), begins[many].tolist(), ends[many].tolist(), strict=True):
+                unit = raw[a:b].tobytes()
+                number = self.long.get(unit, -1)
+                if number < 0:
+                    self.long[unit] = number = self.learnt + len(fresh)
+                    fresh.append(unit)
+                which[i] = number
+            self.learn(fresh)
+        return which
+
+    def encode(self, raw: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts raw[bounds[i]:bounds[i + 1]], the end id after each text, and where each text's ids begin and
+        the last end."""
+        if self.learnt > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.forget()
-        odd = [i for i, t in enumerate(texts) if any(c in t for c in UNCOMMON)]
-        direct = dict(zip(odd, self.ids_of([texts[i] for i in odd]), strict=True))
-        units, counts = [], np.zeros(len(texts) + 1, np.int64)
-        for i, t in enumerate(texts):
-            if i not in direct:
-                own = UNIT.findall(t)
-                units += own
-                counts[i + 1] = len(own)
-        which = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-        if len(self.known) > self.learnt:
-            fresh = np.zeros(len(self.known) - self.learnt, np.int64)
-            new = np.flatnonzero(which >= self.learnt)
-            fresh[which[new[::-1]] - self.learnt] = new[::-1]  # where each new unit stands
-            fresh = [units[i] for i in fresh.tolist()]
-            for i in range(0, len(fresh), 1 << 14):
-                self.learn(fresh[i : i + (1 << 14)])
-        begins = np.where(which > 0, self.at[which - 1], 0)
-        sizes = self.at[which] - begins
-        ids = self.flat[np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
-        out = np.insert(ids, bounds[1:], np.uint32(end_id)) if len(texts) else ids
-        bounds = bounds + np.arange(len(bounds))
-        if direct:
-            parts = [np.array([*direct[i], end_id], np.uint32) if i in direct else out[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
-            out, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        return out, bounds
+        whole = has_wide_space(raw, bounds)
+        data = raw.tobytes()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:  # one that two texts make up only costs time
+                whole[np.searchsorted(bounds, at, "right") - 1] = True
+                at = data.find(token, at + 1)
+        begins = unit_bounds(raw, bounds)
+        begins, ends = begins[:-1], begins[1:]
+        text = np.searchsorted(bounds, begins, "right") - 1
+        if whole.any():
+            keep = ~whole[text]
+            begins, ends, text = begins[keep], ends[keep], text[keep]
+        which = self.numbers(np.append(raw, np.zeros(16, np.uint8)), begins, ends)
+        first = np.where(which > 0, self.at[which - 1], 0)
+        sizes = self.at[which] - first
+        ids = self.flat[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        per_text = np.bincount(text, weights=sizes, minlength=len(whole)).astype(np.int64)
+        stops = np.cumsum(per_text)
+        out = np.insert(ids, stops, np.uint32(end_id)) if len(whole) else ids
+        stops = np.concatenate([[0], stops + np.arange(1, len(stops) + 1)])
+        if whole.any():
+            odd = np.flatnonzero(whole).tolist()
+            direct = dict(zip(odd, self.ids_of([data[bounds[i] : bounds[i + 1]].decode() for i in odd]), strict=True))
+            parts = [np.array([*direct[i], end_id], np.uint32) if i in direct else out[stops[i] : stops[i + 1]] for i in range(len(whole))]
+            out, stops = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return out, stops
 
 
 def encoder_of(spec: str) -> UnitEncoder:
@@ -242,14 +334,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = encoder_of(spec.value), set()
         for b in batches:
-            ids_of, texts = b.column(0), [x or "" for x in b.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= BATCH_CHARS):
-                    size += len(texts[to])
-                    to += 1
-                ids, bounds = encoder.encode(texts[at:to], end_id)
+            ids_of = b.column(0)
+            for at, to, raw, bounds in texts_of(b.column(1), BATCH_BYTES):
+                ids, bounds = encoder.encode(raw, bounds, end_id)
                 ends, counts = cuts(ids, bounds)
                 begins = np.concatenate([[0], ends[:-1]])
                 wide = ids.astype("<u4").tobytes()
@@ -277,21 +364,22 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
                     ],
                     names=["kind", "key", "doc_id", "n", "chunks", "body"],
                 )
-                at = to
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # of one partition; equal keys meet here
+        last = None  # equal keys follow each other
         for b in batches:
-            kind, keys = b.column(0).to_numpy(), b.column(1).to_pylist()
-            keep = np.ones(len(keys), bool)
-            for i in np.flatnonzero(kind == 1).tolist():
-                keep[i] = keys[i] not in seen
-                seen.add(keys[i])
-            yield b.filter(pa.array(keep))
+            if not b.num_rows:
+                continue
+            chunk, keys = b.column(0).to_numpy() == 1, b.column(1)
+            new = np.ones(b.num_rows, bool)
+            new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+            new[0] = keys[0].as_py() != last
+            last = keys[-1].as_py()
+            yield b.filter(pa.array(new | ~chunk))
 
     rows = f"kind int, key binary, doc_id {id_kind}, n long, chunks binary, body binary"
     # each task sends a chunk once, so even a chunk of every document comes as often as there are tasks
-    first = d.mapInArrow(encode, rows).repartition("key").mapInArrow(once, rows)
+    first = d.mapInArrow(encode, rows).repartition("key").sortWithinPartitions("kind", "key").mapInArrow(once, rows)
     with files_freed(spark):
         first.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/first")
 

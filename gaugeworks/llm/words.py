@@ -107,12 +107,12 @@ class Words:
         return self.start[head], self.end[tail], n
 
 
-def pieces(column: pa.Array | pa.ChunkedArray, budget: int = WORKING_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, raw, bounds) for runs of texts of up to budget bytes, each text followed by one line feed; null: empty."""
+def texts_of(column: pa.Array | pa.ChunkedArray, budget: int = WORKING_BYTES, between: bytes = b"") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, raw, bounds) for runs of texts of up to budget bytes, `between` (one byte or none) after each; null: empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary())
-    n = len(column)
+    n, more = len(column), len(between)
     if not n:
         return
     offsets = np.frombuffer(column.buffers()[1], np.int64, n + 1, column.offset * 8)
@@ -122,17 +122,22 @@ def pieces(column: pa.Array | pa.ChunkedArray, budget: int = WORKING_BYTES) -> I
         sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
     at = 0
     while at < n:
-        total = np.cumsum(sizes[at : at + 4096] + 1)
+        total = np.cumsum(sizes[at : at + 4096] + more)
         to = at + max(1, int(np.searchsorted(total, budget, side="right")))
         to = min(to, n)
-        bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[at:to] + 1)])
-        raw = np.full(int(bounds[-1]), 0x0A, np.uint8)
+        bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[at:to] + more)])
+        raw = np.full(int(bounds[-1]), between[0] if more else 0, np.uint8)
         for i in range(at, to):
-            raw[bounds[i - at] : bounds[i - at + 1] - 1] = data[offsets[i] : offsets[i] + sizes[i]]
+            raw[bounds[i - at] : bounds[i - at + 1] - more] = data[offsets[i] : offsets[i] + sizes[i]]
         yield at, to, raw, bounds
         at = to
 
 
+def pieces(column: pa.Array | pa.ChunkedArray, budget: int = WORKING_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The same, each text followed by one line feed."""
+    yield from texts_of(column, budget, b"\n")
+
+
 def word_pieces(column: pa.Array | pa.ChunkedArray, lower: bool = False, budget: int = WORKING_BYTES) -> Iterator[tuple[int, int, Words]]:
     for at, to, raw, bounds in pieces(column, budget):
         yield at, to, Words(raw, bounds, lower)

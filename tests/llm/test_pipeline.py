@@ -36,7 +36,6 @@ def test_stages_one_by_one_against_brute_force(spark, data):
             assert max(np.unique([r.doc_id for r in got], return_counts=True)[1]) <= 3
         else:
             t = Tokenizer.from_file(queries.tokenizer_path())
-            t.encode_special_tokens = True
             start, want = 0, []
             for r in sorted(before.collect(), key=lambda r: r.doc_id):
                 ids = t.encode(r.text, add_special_tokens=False).ids + [2]

@@ -5,18 +5,18 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from gaugeworks.llm import queries, token_store
 from gaugeworks.llm.common import scratch_path
+from gaugeworks.llm.words import texts_of
 
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.tokenizer_path())
 
 
 def expected(library, rows):
@@ -32,14 +32,37 @@ def expected(library, rows):
 def test_units_encode_as_whole_texts(library):
     rng = random.Random(3)
     parts = ["a", "B", "\u00e9", "\u00df", "1", "\u00b2", "'s", "'", "\u2019", " ", "  ", "\n", "\n\n", "\t", "\r\n", ".", ",", "!!", "%%%", "<|endoftext|>", "\u00a0", "\u3000", "\x85", "\x1c", "\x0b", "\U0001f600", "\u4e2d", "_", "-", "don't", "###", "\ufeff", "($", "|"]
+    parts += ["\u2003", "\u2026", "\u00d7", "\u00f7", "\u00c9", "\x00", "z\x00", "a-unit-of-more-than-fifteen-bytes", "ninechars", "letters(", "q" * 15, "q" * 16, "u" * 300]
     encoder = token_store.UnitEncoder(library.to_str())
-    for _ in range(60):
-        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(20)]
-        ids, bounds = encoder.encode(texts, 2)
+    for n in range(120):
+        if n == 60:  # some units known, then none
+            encoder.forget()
+        some = parts if n % 2 else [p for p in parts if p.isascii() and "<|" not in p]
+        texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(20)]
+        (_, _, raw, at), = texts_of(pa.array(texts))
+        ids, bounds = encoder.encode(raw, at, 2)
         for i, t in enumerate(texts):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids + [2], t
 
 
+def test_memory_of_units_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(token_store, "REMEMBERED_BYTES", 1000)
+    encoder = token_store.UnitEncoder(library.to_str())
+    for i in range(5):
+        t = "\u4e2d" * 3000 + str(i)
+        (_, _, raw, at), = texts_of(pa.array([t]))
+        assert encoder.encode(raw, at, 2)[0].tolist() == library.encode(t, add_special_tokens=False).ids + [2]
+        assert len(encoder.long) == 1
+
+
+def test_query_with_an_added_token_and_a_very_long_text(spark, tmp_path, library):
+    texts = ["x<|endoftext|>y", "<|endoftext|>", "a plain text", "one two, three. " * 200_000, None, "b" * 300_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_token_store(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r)[:4] for r in got] == expected(library, list(enumerate(texts)))
+    assert library.encode(texts[0], add_special_tokens=False).ids == [87, 50256, 88]
+
+
 def test_query_equals_direct_encoding(spark, data, library):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()]
     got = queries.op1_token_store(spark, data).orderBy("doc_id").collect()

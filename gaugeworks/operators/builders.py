@@ -134,3 +134,10 @@ def _ranges(level: DataFrame, by: list[str]) -> DataFrame:
     own = F.struct("at", F.concat_ws(":", F.col("at").cast("string"), "h").alias("h"))
     own = level.groupBy(*by).agg(F.array_sort(F.collect_list(own)).alias("r"), F.sum("rows").alias("rows"))
     return own.select(*by, F.sha2(F.array_join(F.transform("r", lambda x: x["h"]), ","), 256).alias("h"), "rows")
+
+
+def merged(df: DataFrame, left: str, right: str) -> Column:
+    """One struct of two: fields of the right one replace those of the left one under the same name, new ones follow."""
+    names = {c: [f.name for f in df.schema[c].dataType.fields] for c in (left, right)}
+    own = [F.col(f"{right if n in names[right] else left}.`{n}`").alias(n) for n in names[left]]
+    return F.struct(*own, *[F.col(f"{right}.`{n}`").alias(n) for n in names[right] if n not in names[left]])

@@ -201,3 +201,10 @@ def contained(paths: DataFrame, root: str, column: str = "path") -> DataFrame:
     """Paths that leave a root folder or name a parent."""
     inside = F.startswith(F.col(column), F.lit(root.rstrip("/") + "/")) & ~F.col(column).rlike(r"(^|/)\.\.(/|$)")
     return predicate(paths, "outside", inside, F.col(column))
+
+
+def require_columns(df: DataFrame, needed: list[str]) -> DataFrame:
+    """df, if it has all needed columns."""
+    if missing := sorted(set(needed) - set(df.columns)):
+        raise GateError(f"missing columns: {', '.join(missing)}")
+    return df

@@ -101,6 +101,20 @@ def exact_value(expression: str) -> Fraction:
     return value(ast.parse(expression, mode="eval").body)
 
 
+def exact_rows(spark: SparkSession, path: str, schema: str, n: int, key: str = "id") -> DataFrame:
+    """A JSONL file of exactly n rows whose keys are 0 to n - 1 in order, else an error; empty lines and a byte order mark
+    are passed over. n is the size of an evaluation set, so one task may number its lines."""
+    lines = spark.read.text(path, wholetext=False).withColumn("at", F.monotonically_increasing_id())
+    lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", "")).where(F.trim("value") != "")
+    if (found := lines.count()) != n:
+        raise ValueError(f"{path} has {found} rows instead of {n}")
+    rows = lines.withColumn("place", F.row_number().over(Window.orderBy("at")) - 1).withColumn("row", F.from_json("value", schema, {"mode": "FAILFAST"}))
+    wrong = rows.where(~F.coalesce(F.get_json_object("value", f"$.{key}") == F.col("place").cast("string"), F.lit(False)))
+    if first := wrong.orderBy("place").select("place").first():
+        raise ValueError(f"{path}: row {first.place} has another {key}")
+    return rows.select("row.*")
+
+
 class _Steps:
     """A chain of whole-number steps. The ranges, the sign lists and the order of draws (first number, then for
     each step its sign and its operand), on which the items of a seed depend."""

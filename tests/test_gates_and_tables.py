@@ -9,8 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gaugeworks import plans
-from gaugeworks.functions import symbolic
-from gaugeworks.operators import binning, builders, contrasts, gates, sampling
+from gaugeworks.functions import plugins, symbolic
+from gaugeworks.operators import binning, budget, builders, contrasts, gates, sampling
 from gaugeworks.sources import readers, sinks
 from gaugeworks.sources.schemas import SCHEMAS
 
@@ -222,3 +222,60 @@ def test_receipts_cover_all_orders(spark, data):
     found = [builders.row_receipts(spark.createDataFrame(x, "p string, k long"), "p", "k").first() for x in [odd, *other]]
     assert (found[0].sha256, found[0].rows) == receipt([k for _, k in odd])
     assert all(r.sha256 != found[0].sha256 for r in found[1:])
+
+
+def test_exact_rows(spark, tmp_path):
+    path = tmp_path / "x.jsonl"
+    path.write_text("\ufeff" + "".join(json.dumps({"id": i, "t": "é"}) + "\n\n" for i in range(5)), encoding="utf-8")
+    assert [r.id for r in readers.exact_rows(spark, str(path), "id bigint, t string", 5).collect()] == list(range(5))
+    with pytest.raises(ValueError, match="5 rows"):
+        readers.exact_rows(spark, str(path), "id bigint, t string", 6)
+    for text in ('{"id": 1}\n{"id": 0}\n', '{"id": 0}\n{"id": "x"}\n', '{"id": 0}\n{"id": 1.0}\n'):
+        path.write_text(text)
+        with pytest.raises(ValueError, match="another id"):
+            readers.exact_rows(spark, str(path), "id string", 2)
+
+
+def test_gates_of_samplers_and_ledgers(spark):
+    d = spark.createDataFrame([([1.0, -2.0], 0.5)], "advantages array<double>, importance_weight double")
+    once = sampling.apply_correction(d)
+    assert once.first().advantages == [0.5, -1.0]
+    with pytest.raises(ValueError, match="already"):
+        sampling.apply_correction(once)
+    none = spark.createDataFrame([(1, 0.0)], "i int, w double")
+    assert details(sampling.probability_violations(none, "i", F.col("w"))) == [("no mass", "0.0")]
+    assert details(budget.domain_violations(spark.createDataFrame([(1, True, 1.5)], "i int, c boolean, s double"), "i", ["c"], ["s"]).select(F.col("field").alias("gate"), F.col("i").cast("string").alias("detail"))) == [("c", "1")]
+    rows = [("completions", 5.0, 5.0, 0.0, True), ("generated_tokens", 1.0, 2.0, 1.0, False)]
+    table = lambda x: spark.createDataFrame(x, "counter string, left double, right double, difference double, hard boolean")
+    budget.require_equal(table(rows))
+    for bad in (("reward_calls", 5.0, 6.0, 1.0, True), ("reward_calls", 5.0, None, None, True)):
+        with pytest.raises(ValueError, match="reward_calls"):
+            budget.require_equal(table([*rows, bad]))
+
+
+def test_signers(spark):
+    locks = lambda *x: spark.createDataFrame(list(x), "who string, stage int, signer string")
+    good = locks(("A", 1, "Ann "), ("A", 2, "ann"), ("B", 1, "Bo"), ("B", 2, "Bo"))
+    assert details(gates.signer_violations(good, "Cy")) == []
+    assert details(gates.signer_violations(good, " BO ")) == [("adjudicates", "bo")]
+    assert details(gates.signer_violations(good, None)) == [("no adjudicator", "")]
+    assert details(gates.signer_violations(locks(("A", 1, "x"), ("A", 2, "y"), ("B", 1, "X")), "z")) == [("changed", "A"), ("not distinct", "x")]
+
+
+def test_columns_structs_and_plug_ins(spark, tmp_path):
+    d = spark.sql("SELECT named_struct('a', 1, 'b', 2) AS x, named_struct('b', 3, 'c', 4) AS y")
+    assert d.select(builders.merged(d, "x", "y").alias("m")).first().m.asDict() == {"a": 1, "b": 3, "c": 4}
+    assert gates.require_columns(d, ["x"]) is d
+    with pytest.raises(gates.GateError, match="missing columns: q, z"):
+        gates.require_columns(d, ["z", "x", "q"])
+    path = tmp_path / "scorer.py"
+    path.write_text("def score(a):\n    return a + 1\n")
+    digest = hashlib.sha256(path.read_bytes()).hexdigest()
+    assert plugins.load_module(str(path), ["score"], digest).score(1) == 2
+    with pytest.raises(AttributeError, match="other"):
+        plugins.load_module(str(path), ["score", "other"])
+    with pytest.raises(ValueError, match="frozen"):
+        plugins.load_module(str(path), ["score"], "0" * 64)
+    assert plugins.plug_in("collections:Counter", ["most_common"], "aab").most_common(1) == [("a", 2)]
+    with pytest.raises(TypeError, match="draw"):
+        plugins.plug_in("collections:Counter", ["draw"])

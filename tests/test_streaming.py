@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import readers
 from gaugeworks.sources.fixtures import scored
-from gaugeworks.streaming import scoring
+from gaugeworks.streaming import queue, scoring
 
 
 def test_stream_equals_batch(spark, data, tmp_path):
@@ -47,3 +48,39 @@ def test_online_moments(spark, tmp_path):
         assert got == [(pytest.approx(1.5), 1), (pytest.approx(1.25), 2)]
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_queue_scores_marked_cells_once(spark, tmp_path):
+    root = tmp_path / "cells"
+    for name in "abc":
+        (root / name).mkdir(parents=True)
+    (root / "d").mkdir()  # never marked
+    for name in "ab":
+        (root / name / "COMPLETE.json").write_text("{}")
+    seen = []
+
+    def score(session, cell):
+        seen.append(cell.rpartition("/")[2])
+        if cell.endswith("b"):
+            raise ValueError("no rows")
+        if cell.endswith("a"):  # arrives while the queue runs
+            (root / "c" / "COMPLETE.json").write_text("{}")
+            (root / "INFERENCE_FINISHED.json").write_text("{}")
+
+    run = lambda: queue.run_queue(spark, str(root), score, str(tmp_path / "out"), str(tmp_path / "state"), poll=0.1, wait=60)
+    got = {r.cell.rpartition("/")[2]: (r.ok, r.error) for r in run().collect()}
+    assert got == {"a": (True, None), "b": (False, "ValueError: no rows"), "c": (True, None)} and sorted(seen) == ["a", "b", "c"]
+    assert run().count() == 3 and len(seen) == 3  # a restart queues nothing again
+
+
+def test_one_shot_refuses_a_restart(spark, data, tmp_path):
+    scored(spark, data).limit(20).select("id", "sample", "response", "ground_truth", F.lit(datetime(2026, 1, 1)).alias("ts")).write.parquet(str(tmp_path / "in"))
+    stream = lambda: scoring.score_stream(scoring.response_stream(spark, str(tmp_path / "in")))
+    queue.one_shot(stream(), str(tmp_path / "out"), str(tmp_path / "state"))
+    for out, state in (("out", "state"), ("new", "state"), ("out", "new")):
+        with pytest.raises(FileExistsError):
+            queue.one_shot(stream(), str(tmp_path / out), str(tmp_path / state))
+    progress = scoring.Progress()
+    progress.status["rows"] = 7
+    queue.heartbeat(progress, spark, str(tmp_path / "status.json"))
+    assert json.loads((tmp_path / "status.json").read_text())["rows"] == 7

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,23 +45,30 @@ def recovered(spark: SparkSession, path: str) -> None:
         fs.delete(to(f"{path}.old"), True) if fs.exists(to(path)) else fs.rename(to(f"{path}.old"), to(path))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read back, for what is read more than once. The folder is the one that
-    spark.checkpoint.dir names; only a local session may do without."""
-    spark = df.sparkSession
+def shared_scratch(spark: SparkSession, label: str = "scratch") -> str:
+    """A new path in the folder that spark.checkpoint.dir names; only a local session may do without that setting."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gaugeworks-"))
+        folder = f"file://{tempfile.mkdtemp(prefix='gaugeworks-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read back, for what is read more than once."""
+    shared_scratch(df.sparkSession)
     return df.checkpoint()
 
 
 def durable_json(document: object, spark: SparkSession, path: str) -> None:
     """A JSON document (sorted keys, indented) that is written beside its target, synced and renamed over it."""
-    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jvm.java.net.URI.create(path if "://" in path else f"file://{path}"), spark.sparkContext._jsc.hadoopConfiguration())
     fs, to = _file_system(spark, path)
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(to(path)).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     out = fs.create(to(f"{path}.next"), True)
     try:
         out.write(bytearray((json.dumps(document, indent=2, sort_keys=True) + "\n").encode()))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import readers as R
 from gaugeworks.operators import contrasts, detector, passk
 from gaugeworks.plans.registry import query
-from gaugeworks.sources.fixtures import items, samples, scored, table
+from gaugeworks.sources.fixtures import SHAPES, items, samples, scored, table
 
 # SQL equivalents of readers (x: an expression)
 
@@ -235,11 +235,22 @@ def payload_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detector.candidates(samples(spark, sf_dir), "id", "sample")
 
 
-@query("payload_reason_counts")
+#: The reasons that each shape of the fixtures gives by the detector's rules, stated by hand.
+_REASONS = ((4, "wrapped_numeric_hash_payload"), (6, "unbalanced_box"), (8, "empty_hash_payload"), (8, "instruction_cue_before_marker"), (9, "empty_hash_payload"), (11, "empty_box_payload"), (13, "unbalanced_box"), (15, "wrapped_numeric_hash_payload"), (15, "unbalanced_box"), (16, "nonnumeric_hash_continuation"))
+_SHAPED = f"""WITH reasons(shape, reason) AS (VALUES {', '.join(map(str, _REASONS))}), l AS (SELECT CASE WHEN l_linestatus = 'O' THEN 'hash' ELSE 'boxed' END AS training, CASE WHEN l_suppkey % 2 = 0 THEN 'hash' ELSE 'boxed' END AS request, l_partkey % {len(SHAPES)} AS shape FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+"""
+
+
+@query("payload_reason_counts", _SHAPED + "SELECT training, request, reason, count(*) AS count FROM l JOIN reasons ON l.shape = reasons.shape GROUP BY ALL", fixtures=False)
 def payload_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detector.reason_counts(samples(spark, sf_dir), "training", "request")
 
 
+@query("responses_with_candidates", _SHAPED + "SELECT training, request, count(*) AS responses_with_candidates FROM l WHERE shape IN (SELECT shape FROM reasons) GROUP BY ALL", fixtures=False)
+def responses_with_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detector.responses_with_candidates(samples(spark, sf_dir), "training", "request").where("responses_with_candidates > 0")
+
+
 @query("instruction_cues", "SELECT id, sample, regexp_matches(split_part(response, '####', 1), '(?i)(output|report|write|put|place|give|provide|present|show)\\s+(the\\s+)?(final\\s+)?answer\\s+(after|within|inside)\\s*[\"''`]*\\s*$') AS cue FROM samples WHERE contains(response, '####')")
 def instruction_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.substring_index(_response(), "####", 1)
@@ -299,10 +310,11 @@ def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("request", "block", "gained", "lost", F.round(contrasts.mcnemar_p(F.col("gained"), F.col("lost")), 7).alias("p"))
 
 
-@query("mcnemar_exact_whole")
+@query("mcnemar_exact_whole", TRANSITIONS + """SELECT request, gained, lost, round(CASE WHEN gained + lost = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(gained, lost) + 1),
+ lambda i: exp(lgamma(gained + lost + 1) - lgamma(i + 1) - lgamma(gained + lost - i + 1) - (gained + lost) * ln(2))))) END, 7) AS p FROM t""")
 def mcnemar_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = paired_transitions(spark, sf_dir)
-    return t.select("request", "gained", "lost", contrasts.mcnemar_exact(F.col("gained"), F.col("lost")).alias("p"))
+    return t.select("request", "gained", "lost", F.round(contrasts.mcnemar_exact(F.col("gained"), F.col("lost")), 7).alias("p"))
 
 
 @query("bootstrap_ci")

@@ -1,10 +1,10 @@
 """Quality rules by distribution divergence, on top of simple base counts.
 
 A language's reference holds two histograms summed over all of its documents: classes of characters, and its most common
-short words against all other words. A document is rejected if its Jensen-Shannon distance (base 2, 0 to 1) to its
-language's reference is above a limit, for characters or for words, each judged only from a minimum length on.
-Languages beyond the MAX_LANGUAGES with most words, and those with fewer than `least_reference` words, are held against
-the reference of all documents together.
+words (whole words of any length and script, A-Z lower-cased) against all other words. A document is rejected if its
+Jensen-Shannon distance (base 2, 0 to 1) to its language's reference is above a limit, for characters or for words, each
+judged only from a minimum length on. Every language has its own reference, however many languages there are: references
+are a table, which is joined to the documents.
 
 Defined cases: null and blank texts have no words and fail the base rule; a null language is a language of its own;
 repeated rows and null doc_ids are rows like any other; extra columns are left out; an empty table gives an empty result.
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.common import stored
 from gaugeworks.llm.words import LOWER, SPACE, Words, pieces, xxh64
 
-MAX_LANGUAGES = 1000
-#: Common words are picked from words of at most this many bytes: function words are short.
-SHORT = 4
+#: Different words whose counts a task holds before it passes them on.
+HELD = 1 << 19
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "line feed", "stop", "mark", "symbol", "other", "non-ASCII")
 CLASS_OF = np.full(256, 8, np.uint8)
@@ -45,7 +45,6 @@ class Limits:
     least_characters: int = 200
     least_words: int = 40
     common: int = 32
-    least_reference: int = 5000
 
 
 def class_counts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -56,90 +55,94 @@ def class_counts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def short_codes(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """For words of up to SHORT bytes: which word, and its lower-cased bytes as one number."""
-    size = w.end - w.start
-    rows = np.flatnonzero(size <= SHORT)
-    quads = np.ndarray((len(w.buf) - 3,), "<u4", LOWER[w.buf], strides=(1,))
-    masks = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
-    return rows, quads[w.start[rows]] & masks[size[rows]]
+def lower_hashes(w: Words) -> np.ndarray:
+    """A hash of every lower-cased word (64 bits stand for a word)."""
+    return xxh64(LOWER[w.buf], w.start, w.end, 11)
+
+
+def _summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(language, hash, count, word) with one row per language and hash."""
+    lang, h, n = (np.concatenate([x[k] for x in parts]) for k in range(3))
+    word = pa.concat_arrays([x[3] for x in parts])
+    order = np.lexsort((h, lang))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (lang[order[1:]] != lang[order[:-1]])
+    begins = np.flatnonzero(new)
+    first = order[begins]
+    return lang[first], h[first], np.add.reduceat(n[order], begins) if len(begins) else n, word.take(pa.array(first))
 
 
 def _reference_counts(docs: DataFrame) -> DataFrame:
-    """lang, kind (0 classes, 1 short words, 2 all words), code, n: one row per task, language and code."""
+    """lang, kind (0 classes, 1 words, 2 all words), code, word, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes: dict[str | None, np.ndarray] = {}
-        words: dict[str | None, int] = {}
-        held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+        names: dict[str | None, int] = {}
+        classes: dict[int, np.ndarray] = {}
+        words: dict[int, int] = {}
+        held: list[tuple] = []
+
+        def rows(lang: list, kind: int, code: list, word: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            own = list(names)
+            return pa.record_batch([pa.array([own[x] for x in lang], pa.string()), pa.array(np.full(len(n), kind, np.int32)), pa.array(code, pa.int32()), word, pa.array(n, pa.int64())], names=["lang", "kind", "code", "word", "n"])
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            lang, _, n, word = held[0]
+            for at in range(0, len(n), 1 << 15):
+                part = slice(at, at + (1 << 15))
+                yield rows(lang[part].tolist(), 1, [0] * len(n[part]), word[part], n[part])
+
         for b in batches:
             langs = b.column(0).to_pylist()
             for at, to, raw, bounds in pieces(b.column(1)):
-                counts, w = class_counts(raw, bounds), Words(raw, bounds, False)
-                rows, code = short_codes(w)
-                lang_of = {x: i for i, x in enumerate(dict.fromkeys(langs[at:to]))}
-                of = np.array([lang_of[x] for x in langs[at:to]])
-                word_lang = of[w.of()]
-                for x, i in lang_of.items():
-                    classes[x] = classes.get(x, 0) + counts[of == i].sum(axis=0)
-                    words[x] = words.get(x, 0) + int((word_lang == i).sum())
-                    own = held.setdefault(x, [])
-                    own.append(np.unique(code[word_lang[rows] == i], return_counts=True))
-                    if len(own) > 16:
-                        held[x] = [_merged(own)]
-        out = [(x, 0, i, int(n)) for x, c in classes.items() for i, n in enumerate(c)]
-        out += [(x, 2, 0, n) for x, n in words.items()]
-        for x, own in held.items():
-            code, n = _merged(own)
-            out += [(x, 1, int(c), int(k)) for c, k in zip(code, n, strict=True)]
-        for i in range(0, len(out), 1 << 16):
-            part = list(zip(*out[i : i + (1 << 16)], strict=True))
-            yield pa.record_batch([pa.array(part[0], pa.string()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.int64())], names=["lang", "kind", "code", "n"])
-
-    found = docs.select(F.col("lang").cast("string"), "text").mapInArrow(run, "lang string, kind int, code long, n long")
-    return found.groupBy("lang", "kind", "code").agg(F.sum("n").alias("n"))
-
-
-def _merged(own: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    code, inverse = np.unique(np.concatenate([c for c, _ in own]), return_inverse=True)
-    return code, np.bincount(inverse, weights=np.concatenate([n for _, n in own]), minlength=len(code)).astype(np.int64)
-
-
-@dataclass
-class Reference:
-    classes: np.ndarray
-    codes: np.ndarray  # sorted
-    words: np.ndarray  # shares of codes, then of all other words
-
-
-def references(docs: DataFrame, limits: Limits) -> tuple[dict[str | None, Reference], Reference]:
-    """Each language's reference, and that of all documents. The driver gets at most MAX_LANGUAGES * (common + 11) numbers."""
-    counts = _reference_counts(docs)
-    counts = counts.persist()
-    try:
-        pooled = counts.groupBy("kind", "code").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string")).withColumn("all", F.lit(True))
-        top = counts.filter("kind = 2").filter(F.col("n") >= limits.least_reference).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select(F.col("lang").alias("l"))
-        own = counts.join(F.broadcast(top), F.col("lang").eqNullSafe(F.col("l"))).drop("l").withColumn("all", F.lit(False))
-        rows = own.unionByName(pooled)
-        rank = F.row_number().over(Window.partitionBy("all", "lang", "kind").orderBy(F.desc("n"), "code"))
-        got = rows.withColumn("rank", rank).filter((F.col("kind") != 1) | (F.col("rank") <= limits.common)).collect()
-    finally:
-        counts.unpersist()
-    by: dict[tuple, list] = {}
-    for r in got:
-        by.setdefault((r["all"], r["lang"]), []).append(r)
-    made = {}
-    for key, rs in by.items():
-        classes = np.zeros(10)
-        for r in rs:
-            if r["kind"] == 0:
-                classes[r["code"]] = r["n"]
-        common = sorted((r["code"], r["n"]) for r in rs if r["kind"] == 1)
-        total = sum(r["n"] for r in rs if r["kind"] == 2)
-        share = np.array([n for _, n in common] + [total - sum(n for _, n in common)], float)
-        made[key] = Reference(classes / max(classes.sum(), 1), np.array([c for c, _ in common], np.uint32), share / max(total, 1))
-    pooled_one = made.pop((True, None), Reference(np.zeros(10), np.zeros(0, np.uint32), np.ones(1)))
-    return {k[1]: v for k, v in made.items()}, pooled_one
+                counts, w = class_counts(raw, bounds), Words(raw, bounds, True)
+                of = np.array([names.setdefault(x, len(names)) for x in langs[at:to]])
+                for x in np.unique(of).tolist():
+                    classes[x] = classes.get(x, 0) + counts[of == x].sum(axis=0)
+                    words[x] = words.get(x, 0) + int(w.count[of == x].sum())
+                size = w.end - w.start
+                h, lang = xxh64(w.buf, w.start, w.end, 11), of[w.of()]
+                order = np.lexsort((h, lang))
+                new = np.ones(len(order), bool)
+                new[1:] = (h[order[1:]] != h[order[:-1]]) | (lang[order[1:]] != lang[order[:-1]])
+                begins = np.flatnonzero(new)
+                if not len(begins):
+                    continue
+                one, size = order[begins], size[order[begins]]
+                ends = np.cumsum(size)
+                data = w.buf[np.repeat(w.start[one] - ends + size, size) + np.arange(ends[-1])]
+                word = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data)])
+                held.append((lang[one], h[one], np.diff(np.append(begins, len(order))), word))
+                if len(held) > 16:
+                    held = [_summed(held)]
+                    if len(held[0][1]) > HELD:
+                        yield from passed_on()
+                        held = []
+        if held:
+            held = [_summed(held)]
+            yield from passed_on()
+        for x, c in classes.items():
+            yield rows([x] * 10, 0, list(range(10)), pa.nulls(10, pa.binary()), c)
+        if words:
+            yield rows(list(words), 2, [0] * len(words), pa.nulls(len(words), pa.binary()), np.array(list(words.values())))
+
+    found = docs.select(F.col("lang").cast("string"), "text").mapInArrow(run, "lang string, kind int, code int, word binary, n long")
+    return found.groupBy("lang", "kind", "code", "word").agg(F.sum("n").alias("n"))
+
+
+def references(docs: DataFrame, limits: Limits) -> DataFrame:
+    """lang, classes (shares), common (words, the most frequent first), shares (of these, then of all other words)."""
+    most = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word", "code")
+    top = _reference_counts(docs).withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= max(limits.common, 10))
+    by_class = [F.coalesce(F.sum(F.when((F.col("kind") == 0) & (F.col("code") == i), F.col("n"))), F.lit(0)).cast("double") for i in range(10)]
+    common = F.array_sort(F.collect_list(F.when((F.col("kind") == 1) & (F.col("rank") <= limits.common), F.struct("rank", "word", "n"))))
+    total = F.coalesce(F.max(F.when(F.col("kind") == 2, F.col("n"))), F.lit(0)).cast("double")
+    own = top.groupBy("lang").agg(F.array(*by_class).alias("classes"), common.alias("common"), total.alias("total"))
+    counts = F.transform("common", lambda x: x["n"].cast("double"))
+    rest = F.col("total") - F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    all_classes = F.aggregate("classes", F.lit(0.0), lambda a, x: a + x)
+    shares = F.transform(F.concat(counts, F.array(rest)), lambda x: x / F.greatest(F.col("total"), F.lit(1.0)))
+    out = own.select("lang", F.transform("classes", lambda x: x / F.greatest(all_classes, F.lit(1.0))).alias("classes"), F.transform("common", lambda x: x["word"]).alias("common"), shares.alias("shares"))
+    return stored(out, "references")
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -196,53 +199,77 @@ def base_counts(raw: np.ndarray, bounds: np.ndarray, w: Words, window: int = 8)
     return out
 
 
-def judge(langs: list[str | None], column: pa.Array, own: dict[str | None, Reference], pooled: Reference, limits: Limits) -> tuple[np.ndarray, ...]:
+def _batch_references(langs: list[str | None], ref: pa.RecordBatch) -> dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Class shares, common words' hashes and word shares of each language in a batch."""
+    out = {}
+    for i, lang in enumerate(langs):
+        if lang not in out:
+            words = ref.column("common")[i].as_py()
+            raw = np.frombuffer(b"".join(words) + bytes(8), np.uint8)
+            ends = np.cumsum([0, *map(len, words)])
+            out[lang] = np.array(ref.column("classes")[i].as_py()), xxh64(raw, ends[:-1], ends[1:], 11), np.array(ref.column("shares")[i].as_py())
+    return out
+
+
+def judge(langs: list[str | None], column: pa.Array, own: dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray]], limits: Limits) -> tuple[np.ndarray, ...]:
     """Base counts, base_failed, distances and kept for a batch of texts."""
     parts = [(np.zeros((0, 5), np.int64), np.zeros(0, bool), np.zeros((0, 2)), np.zeros(0, bool))]
     for at, to, raw, bounds in pieces(column):
         w = Words(raw, bounds, False)
         counts, classes = base_counts(raw, bounds, w), class_counts(raw, bounds)
-        rows, code = short_codes(w)
-        of = w.of()[rows]
+        h, text = lower_hashes(w), w.of()
         js = np.zeros((to - at, 2))
         for lang in dict.fromkeys(langs[at:to]):
-            ref = own.get(lang, pooled)
-            mine = np.flatnonzero([x == lang for x in langs[at:to]])
-            js[mine, 0] = distance(classes[mine], ref.classes)
-            k = len(ref.codes)
-            place = np.searchsorted(ref.codes, code)
-            known = np.flatnonzero((place < k) & (ref.codes[np.minimum(place, k - 1)] == code)) if k else np.zeros(0, np.int64)
-            table = np.bincount(of[known] * (k + 1) + place[known], minlength=(to - at) * (k + 1)).reshape(to - at, k + 1)[mine]
+            class_shares, common, word_shares = own[lang]
+            mine = np.array([x == lang for x in langs[at:to]])
+            js[mine, 0] = distance(classes[mine], class_shares)
+            k = len(common)
+            order = np.argsort(common)
+            at_word = np.flatnonzero(mine[text])
+            place = np.searchsorted(common, h[at_word], sorter=order)
+            place = order[np.minimum(place, k - 1)] if k else place
+            known = common[place] == h[at_word] if k else np.zeros(len(at_word), bool)
+            table = np.bincount(text[at_word[known]] * (k + 1) + place[known], minlength=(to - at) * (k + 1)).reshape(to - at, k + 1)[mine]
             table[:, k] = counts[mine, 0] - table[:, :k].sum(axis=1)
-            js[mine, 1] = distance(table, ref.words)
+            js[mine, 1] = distance(table, word_shares)
         far = ((js[:, 0] > limits.characters) & (classes.sum(axis=1) >= limits.least_characters)) | ((js[:, 1] > limits.words) & (counts[:, 0] >= limits.least_words))
         failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
         parts.append((counts, failed, js, ~failed & ~far))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _with_references(docs: DataFrame, limits: Limits) -> DataFrame:
+    """row (all columns), l (the language), classes, common, shares. References are broadcast while Spark finds their table small."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("lang").cast("string").alias("l"))
+    refs = references(docs, limits)
+    return rows.join(refs, rows["l"].eqNullSafe(refs["lang"])).select("row", "l", "classes", "common", "shares")
+
+
 def assess(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     js_characters, js_words, kept."""
-    own, pooled = references(docs, limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, failed, js, kept = judge(b.column(1).to_pylist(), b.column(2), own, pooled, limits)
-            yield pa.record_batch([b.column(0), *(pa.array(counts[:, i]) for i in range(5)), pa.array(failed), pa.array(js[:, 0]), pa.array(js[:, 1]), pa.array(kept)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_characters", "js_words", "kept"])
+            langs = b.column("l").to_pylist()
+            doc_id, text = b.column("row").flatten()
+            counts, failed, js, kept = judge(langs, text, _batch_references(langs, b), limits)
+            yield pa.record_batch([doc_id, *(pa.array(counts[:, i]) for i in range(5)), pa.array(failed), pa.array(js[:, 0]), pa.array(js[:, 1]), pa.array(kept)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_characters", "js_words", "kept"])
 
-    d = docs.select("doc_id", F.col("lang").cast("string"), "text")
-    kind = d.schema["doc_id"].dataType.simpleString()
+    d = _with_references(docs.select("doc_id", "lang", "text"), limits).withColumn("row", F.struct("row.doc_id", "row.text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     return d.mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, js_characters double, js_words double, kept boolean")
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """The documents that are kept, with all of their columns, in one scan after the references."""
-    own, pooled = references(docs, limits)
-    lang, text = docs.columns.index("lang"), docs.columns.index("text")
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(judge(b.column(lang).to_pylist(), b.column(text), own, pooled, limits)[3]))
+            langs = b.column("l").to_pylist()
+            kept = judge(langs, b.column("row").flatten()[place], _batch_references(langs, b), limits)[3]
+            yield b.select(["row"]).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    d = _with_references(docs, limits)
+    return d.mapInArrow(run, d.select("row").schema).select("row.*")

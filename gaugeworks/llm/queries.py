@@ -141,15 +141,14 @@ c AS (SELECT doc_id, lang, length(body) AS n_all, CAST(length(body) - length(reg
 c2 AS (SELECT *, n_all - (k0+k1+k2+k3+k4+k5+k6+k7+k9) AS k8 FROM c),
 cr AS (SELECT lang, sum(k0)::DOUBLE / sum(n_all) AS q0, sum(k1)::DOUBLE / sum(n_all) AS q1, sum(k2)::DOUBLE / sum(n_all) AS q2, sum(k3)::DOUBLE / sum(n_all) AS q3, sum(k4)::DOUBLE / sum(n_all) AS q4, sum(k5)::DOUBLE / sum(n_all) AS q5, sum(k6)::DOUBLE / sum(n_all) AS q6, sum(k7)::DOUBLE / sum(n_all) AS q7, sum(k8)::DOUBLE / sum(n_all) AS q8, sum(k9)::DOUBLE / sum(n_all) AS q9 FROM c2 GROUP BY lang),
 cp AS (SELECT doc_id, lang, n_all, k0::DOUBLE / greatest(n_all, 1) AS p0, k1::DOUBLE / greatest(n_all, 1) AS p1, k2::DOUBLE / greatest(n_all, 1) AS p2, k3::DOUBLE / greatest(n_all, 1) AS p3, k4::DOUBLE / greatest(n_all, 1) AS p4, k5::DOUBLE / greatest(n_all, 1) AS p5, k6::DOUBLE / greatest(n_all, 1) AS p6, k7::DOUBLE / greatest(n_all, 1) AS p7, k8::DOUBLE / greatest(n_all, 1) AS p8, k9::DOUBLE / greatest(n_all, 1) AS p9 FROM c2),
-jc AS (SELECT doc_id, n_all, sqrt(greatest(0, (CASE WHEN p0 > 0 THEN p0 * log2(p0 / ((p0 + q0) / 2)) ELSE 0 END + CASE WHEN q0 > 0 THEN q0 * log2(q0 / ((p0 + q0) / 2)) ELSE 0 END + CASE WHEN p1 > 0 THEN p1 * log2(p1 / ((p1 + q1) / 2)) ELSE 0 END + CASE WHEN q1 > 0 THEN q1 * log2(q1 / ((p1 + q1) / 2)) ELSE 0 END + CASE WHEN p2 > 0 THEN p2 * log2(p2 / ((p2 + q2) / 2)) ELSE 0 END + CASE WHEN q2 > 0 THEN q2 * log2(q2 / ((p2 + q2) / 2)) ELSE 0 END + CASE WHEN p3 > 0 THEN p3 * log2(p3 / ((p3 + q3) / 2)) ELSE 0 END + CASE WHEN q3 > 0 THEN q3 * log2(q3 / ((p3 + q3) / 2)) ELSE 0 END + CASE WHEN p4 > 0 THEN p4 * log2(p4 / ((p4 + q4) / 2)) ELSE 0 END + CASE WHEN q4 > 0 THEN q4 * log2(q4 / ((p4 + q4) / 2)) ELSE 0 END + CASE WHEN p5 > 0 THEN p5 * log2(p5 / ((p5 + q5) / 2)) ELSE 0 END + CASE WHEN q5 > 0 THEN q5 * log2(q5 / ((p5 + q5) / 2)) ELSE 0 END + CASE WHEN p6 > 0 THEN p6 * log2(p6 / ((p6 + q6) / 2)) ELSE 0 END + CASE WHEN q6 > 0 THEN q6 * log2(q6 / ((p6 + q6) / 2)) ELSE 0 END + CASE WHEN p7 > 0 THEN p7 * log2(p7 / ((p7 + q7) / 2)) ELSE 0 END + CASE WHEN q7 > 0 THEN q7 * log2(q7 / ((p7 + q7) / 2)) ELSE 0 END + CASE WHEN p8 > 0 THEN p8 * log2(p8 / ((p8 + q8) / 2)) ELSE 0 END + CASE WHEN q8 > 0 THEN q8 * log2(q8 / ((p8 + q8) / 2)) ELSE 0 END + CASE WHEN p9 > 0 THEN p9 * log2(p9 / ((p9 + q9) / 2)) ELSE 0 END + CASE WHEN q9 > 0 THEN q9 * log2(q9 / ((p9 + q9) / 2)) ELSE 0 END) / 2)) AS js FROM cp JOIN cr ON cp.lang = cr.lang),
+jc AS (SELECT doc_id, n_all, sqrt(greatest(0, (CASE WHEN p0 > 0 THEN p0 * log2(p0 / ((p0 + q0) / 2)) ELSE 0 END + CASE WHEN q0 > 0 THEN q0 * log2(q0 / ((p0 + q0) / 2)) ELSE 0 END + CASE WHEN p1 > 0 THEN p1 * log2(p1 / ((p1 + q1) / 2)) ELSE 0 END + CASE WHEN q1 > 0 THEN q1 * log2(q1 / ((p1 + q1) / 2)) ELSE 0 END + CASE WHEN p2 > 0 THEN p2 * log2(p2 / ((p2 + q2) / 2)) ELSE 0 END + CASE WHEN q2 > 0 THEN q2 * log2(q2 / ((p2 + q2) / 2)) ELSE 0 END + CASE WHEN p3 > 0 THEN p3 * log2(p3 / ((p3 + q3) / 2)) ELSE 0 END + CASE WHEN q3 > 0 THEN q3 * log2(q3 / ((p3 + q3) / 2)) ELSE 0 END + CASE WHEN p4 > 0 THEN p4 * log2(p4 / ((p4 + q4) / 2)) ELSE 0 END + CASE WHEN q4 > 0 THEN q4 * log2(q4 / ((p4 + q4) / 2)) ELSE 0 END + CASE WHEN p5 > 0 THEN p5 * log2(p5 / ((p5 + q5) / 2)) ELSE 0 END + CASE WHEN q5 > 0 THEN q5 * log2(q5 / ((p5 + q5) / 2)) ELSE 0 END + CASE WHEN p6 > 0 THEN p6 * log2(p6 / ((p6 + q6) / 2)) ELSE 0 END + CASE WHEN q6 > 0 THEN q6 * log2(q6 / ((p6 + q6) / 2)) ELSE 0 END + CASE WHEN p7 > 0 THEN p7 * log2(p7 / ((p7 + q7) / 2)) ELSE 0 END + CASE WHEN q7 > 0 THEN q7 * log2(q7 / ((p7 + q7) / 2)) ELSE 0 END + CASE WHEN p8 > 0 THEN p8 * log2(p8 / ((p8 + q8) / 2)) ELSE 0 END + CASE WHEN q8 > 0 THEN q8 * log2(q8 / ((p8 + q8) / 2)) ELSE 0 END + CASE WHEN p9 > 0 THEN p9 * log2(p9 / ((p9 + q9) / 2)) ELSE 0 END + CASE WHEN q9 > 0 THEN q9 * log2(q9 / ((p9 + q9) / 2)) ELSE 0 END) / 2)) AS js FROM cp JOIN cr ON cp.lang IS NOT DISTINCT FROM cr.lang),
 vl AS (SELECT doc_id, lang, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM v),
-vc AS (SELECT lang, word, count(*) AS n, hex(encode(word)) AS x FROM vl WHERE strlen(word) <= 4 GROUP BY ALL),
-top AS (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2)) AS rk FROM (SELECT lang, word, n, rpad(x, 8, '0') AS x FROM vc)),
+top AS (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, hex(encode(word))) AS rk FROM (SELECT lang, word, count(*) AS n FROM vl GROUP BY ALL)),
 ref AS (SELECT lang, word, n FROM top WHERE rk <= 32),
 tot AS (SELECT lang, count(*) AS n FROM vl GROUP BY lang),
-rq AS (SELECT ref.lang, word, ref.n::DOUBLE / tot.n AS q FROM ref JOIN tot ON ref.lang = tot.lang UNION ALL SELECT tot.lang, NULL, (tot.n - sum(ref.n))::DOUBLE / tot.n FROM tot JOIN ref ON ref.lang = tot.lang GROUP BY tot.lang, tot.n),
-dw AS (SELECT vl.doc_id, vl.lang, ref.word, count(*) AS n FROM vl LEFT JOIN ref ON vl.lang = ref.lang AND vl.word = ref.word GROUP BY ALL),
-grid AS (SELECT b.doc_id, rq.word, rq.q, coalesce(dw.n, 0)::DOUBLE / greatest(n_words, 1) AS p FROM b JOIN rq ON b.lang = rq.lang LEFT JOIN dw ON dw.doc_id = b.doc_id AND dw.word IS NOT DISTINCT FROM rq.word WHERE n_words > 0),
+rq AS (SELECT ref.lang, word, ref.n::DOUBLE / tot.n AS q FROM ref JOIN tot ON ref.lang IS NOT DISTINCT FROM tot.lang UNION ALL SELECT tot.lang, NULL, (tot.n - sum(ref.n))::DOUBLE / tot.n FROM tot JOIN ref ON ref.lang IS NOT DISTINCT FROM tot.lang GROUP BY tot.lang, tot.n),
+dw AS (SELECT vl.doc_id, vl.lang, ref.word, count(*) AS n FROM vl LEFT JOIN ref ON vl.lang IS NOT DISTINCT FROM ref.lang AND vl.word = ref.word GROUP BY ALL),
+grid AS (SELECT b.doc_id, rq.word, rq.q, coalesce(dw.n, 0)::DOUBLE / greatest(n_words, 1) AS p FROM b JOIN rq ON b.lang IS NOT DISTINCT FROM rq.lang LEFT JOIN dw ON dw.doc_id = b.doc_id AND dw.word IS NOT DISTINCT FROM rq.word WHERE n_words > 0),
 jw AS (SELECT doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS js FROM grid GROUP BY doc_id),
 o AS (SELECT b.doc_id, n_words, word_chars, n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words, CASE WHEN n_all > 0 THEN jc.js ELSE 0 END AS jsc, coalesce(jw.js, 0) AS jsw, n_all FROM b LEFT JOIN l ON b.doc_id = l.doc_id LEFT JOIN rw ON b.doc_id = rw.doc_id LEFT JOIN jc ON b.doc_id = jc.doc_id LEFT JOIN jw ON b.doc_id = jw.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, round(jsc, 6) AS js_characters, round(jsw, 6) AS js_words,

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import random
 import re
 
@@ -21,46 +22,55 @@ def plain_tokens(text):
 
 
 def leaks(docs, items, similarity=0.8):
-    """All alignments of all pairs: windows with enough equal tokens that also have a seed's positions equal."""
+    """All alignments of all pairs: windows with enough equal tokens; very short items only as whole texts."""
     out = set()
     for d, t in docs:
         a = plain_tokens(t)
         for i, s in items:
             b = plain_tokens(s)
-            if len(b) < D.SPAN:
+            if not b or len(b) < D.WHOLE and len(a) != len(b):
                 continue
             size = min(len(b), D.WINDOW)
-            for shift in range(-len(b), len(a)):
+            if sum(map(set(a).__contains__, b)) < np.ceil(similarity * size - 1e-9):
+                continue
+            for shift in range(size - len(b), len(a) - size + 1):
                 lo, hi = max(0, -shift), min(len(b), len(a) - shift)
-                if hi - lo < size:
-                    continue
-                same = [a[k + shift] == b[k] for k in range(lo, hi)]
-                seed = any(all(same[k + j] for j in mask) for mask in D.MASKS for k in range(len(same) - D.SPAN + 1))
-                if seed and any(sum(same[k : k + size]) >= np.ceil(similarity * size - 1e-9) for k in range(len(same) - size + 1)):
+                run = np.cumsum([0] + [a[k + shift] == b[k] for k in range(lo, hi)])
+                if (run[size:] - run[:-size] >= np.ceil(similarity * size - 1e-9)).any():
                     out.add((d, i))
     return out
 
 
+def test_masks_hit_whatever_tokens_differ():
+    """By enumeration, for every length of a window and every allowed set of changed tokens."""
+    for n in range(1, D.WINDOW + 1):
+        apart = n - int(np.ceil(0.8 * n - 1e-9))
+        for changed in itertools.combinations(range(n), apart):
+            masks = [(m, s) for m in D.MASKS for s in range(n - D.SPAN + 1)] if n >= D.LONG else [(m, 0) for m in D.own_masks(n, 0.8)]
+            assert any(not set(changed) & {s + k for k in m} for m, s in masks), (n, changed)
+
+
 def case():
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(300)]
-    items = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (8, 14, 20, 40, 5, 0, 30)] + [None]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (8, 14, 20, 40, 5, 0, 30, 6, 7, 9, 10, 11, 12, 3, 1)] + [None]
     docs = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))) for _ in range(20)]
-    for i, s in enumerate(items[:4] + items[6:7]):
+    for i, s in enumerate(items[:5] + items[6:15]):
         w = s.split()
         for k in range(3):
             own = list(w)
-            for _ in range(k * len(w) // 10):
-                own[rng.randrange(len(own))] = "other"
+            for x in rng.sample(range(len(w)), k * len(w) // 10 if k < 2 else len(w) - int(np.ceil(0.8 * len(w)))):
+                own[x] = "other"
             docs.append("Intro, text " + ", ".join(own).title() + ". The end" if k else "x " * i + s)
-    return docs + ["", None, items[3][: len(items[3]) // 2], items[4]], items
+    docs += [" ".join("other" if k == x else w for k, w in enumerate(items[0].split())) for x in range(8)]
+    return docs + ["", None, items[3][: len(items[3]) // 2], items[4], items[13], items[14].upper() + "!", "y " + items[13]], items
 
 
 def test_leaks_equal_all_alignments(spark, documents):
     docs, items = case()
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = leaks(enumerate(docs), list(enumerate(items)))
-    assert len(want) >= 12
+    assert len(want) >= 40 and all((i, 0) in want for i, t in enumerate(docs) if t and t.count("other") == 1 and len(t.split()) == 8)
     for block in (500_000, 20):  # also with the benchmark in many blocks
         got = D.find_leaks(documents(docs), bench, block_tokens=block).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
@@ -79,9 +89,21 @@ def test_no_leaks_without_texts(spark, documents):
 def test_whole_table(spark, data):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
-    whole = {(d, i) for d, t in docs for i, s in items if s in t}
+    want = leaks([(d, t) for d, t in docs if len(t) < 6000], items)
     got = {(r.doc_id, r.item_id) for r in queries.op4_spaced_seeds(spark, data).collect()}
-    assert got >= whole and whole
+    short = {d for d, t in docs if len(t) < 6000}
+    assert {x for x in got if x[0] in short} == want and want
+    assert got >= {(d, i) for d, t in docs for i, s in items if s in t}
+
+
+def test_very_long_text_and_frequent_seeds(spark, documents, monkeypatch):
+    monkeypatch.setattr(D, "HITS", 100)
+    rng = random.Random(1)
+    item = " ".join(f"w{rng.randrange(50)}" for _ in range(20))
+    docs = ["la " * 500 + item + " la" * 500, " ".join(f"v{i % 977}" for i in range(200_000)) + " " + item, "la " * 30, None]
+    items = ["la " * 20, item, "la la la la la la", item]
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(documents(docs), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {(0, 0), (0, 1), (0, 2), (0, 3), (1, 1), (1, 3), (2, 0), (2, 2)}
 
 
 def counts(t):
@@ -115,10 +137,16 @@ def js(p, q):
     return np.sqrt(max(0, (kl(p) + kl(q)) / 2))
 
 
-def test_distances_equal_plain_histograms(spark, data):
-    d = spark.read.parquet(f"{data}/documents.parquet")
+@pytest.mark.parametrize("held", [1 << 19, 100])
+def test_distances_equal_plain_histograms(spark, data, documents, monkeypatch, held):
+    """Also in scripts of two and three bytes a letter, with a null language, and where tasks pass counts on early."""
+    monkeypatch.setattr(Q, "HELD", held)
+    rng = random.Random(4)
+    other = {"ru": "абвгдежз", "hi": "अआइईउऊ", None: "xyzäß", "rare": "q"}
+    texts = [(" ".join("".join(rng.choice(x) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(30, 90))), lang) for lang, x in other.items() for _ in range(3 if lang != "rare" else 1)]
+    d = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").union(spark.createDataFrame([(10**6 + i, t, x) for i, (t, x) in enumerate(texts)], "doc_id long, text string, lang string"))
     rows = [(r.doc_id, r.text, r.lang) for r in d.collect()]
-    limits = Q.Limits(least_reference=1)
+    limits = Q.Limits()
     got = {r.doc_id: r for r in Q.assess(d, limits).collect()}
     for lang in {x[2] for x in rows}:
         own = [(i, t) for i, t, x in rows if x == lang]
@@ -126,9 +154,8 @@ def test_distances_equal_plain_histograms(spark, data):
         short = collections.Counter()
         words = {i: [w.encode().lower() for w in WORD.findall(t)] for i, t in own}
         for w in words.values():
-            short.update(x for x in w if len(x) <= Q.SHORT)
-        code = lambda x: int.from_bytes(x, "little")
-        common = [w for w, _ in sorted(short.items(), key=lambda kv: (-kv[1], code(kv[0])))[: limits.common]]
+            short.update(w)
+        common = [w for w, _ in sorted(short.items(), key=lambda kv: (-kv[1], kv[0]))[: limits.common]]
         total = sum(len(w) for w in words.values())
         ref_words = [short[w] / total for w in common] + [1 - sum(short[w] for w in common) / total]
         ref_classes = sum(classes.values()) / sum(c.sum() for c in classes.values())

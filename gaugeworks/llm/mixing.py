@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import word_count
+from gaugeworks.llm.common import stored, word_count
 
 ROWS_PER_SHARD = 4_000
 
@@ -83,9 +83,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, seed: int = 17, ca
     `copies` counts how often the whole document is taken; words part_from to part_to (excluded) are taken once more.
     With `whole_documents` a document is taken once more if the middle of it lies in the blocks taken once more, and
     part_from and part_to are then 0 and its size. `weights` has source and weight; without it weights are 1, 2, 3, repeating.
-    `keep` names further columns of docs to carry along.
+    `keep` names further columns of docs to carry along with whole documents; these aren't shuffled while the table of
+    shards is small enough for Spark to broadcast.
     """
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_order"), *keep)
+    measured = [word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_order")]
+    # words are counted once; what follows reads ids and sizes only
+    d = stored(docs.select("doc_id", "source", *measured), "sizes")
     sources = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     if weights is None:
         sources = default_weights(sources)
@@ -97,18 +100,30 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, seed: int = 17, ca
     quotas = highest_quotients(sources, [], "target", blocks, "source_blocks")
     shard = F.pmod(F.conv(F.left(F.col("_order"), F.lit(8)), 16, 10).cast("long"), F.col("_shards"))
     # one row per source: as many as there are names of sources; Spark broadcasts it while it is small
-    d = d.join(sources.select(F.col("source").alias("_s"), "source_size", "target", "_shards"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_shard", shard)
+    placed = sources.select(F.col("source").alias("_s"), "source_size", "target", "_shards")
+
+    def in_shards(rows: DataFrame) -> DataFrame:
+        return rows.join(placed, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_shard", shard)
+
+    d = in_shards(d)
     cells = d.groupBy("source", "_shard").agg(F.sum("size").alias("_cell"))
     cells = cells.join(quotas.select(F.col("source").alias("_s"), "source_blocks"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     cells = highest_quotients(cells, ["source"], "_cell", F.col("source_blocks"), "_quota")
     words = F.least(F.col("_quota") * block, F.col("_cell") * cap)
     cells = cells.withColumn("_full", F.when(F.col("_cell") > 0, F.floor(words / F.col("_cell"))).otherwise(F.lit(0)).cast("long")).withColumn("_more", (words - F.col("_full") * F.col("_cell")).cast("long"))
     cells = cells.select(F.col("source").alias("_s"), F.col("_shard").alias("_t"), "_full", "_more")
-    d = d.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_t"))).drop("_s", "_t")
-    order = Window.partitionBy("source", "_shard").orderBy("_order", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_end", F.sum("size").over(order)).withColumn("_start", F.col("_end") - F.col("size"))
+    by_cell = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_t"))
+    whole = Window.partitionBy("source", "_shard").orderBy("_order", "doc_id", "size")
     if whole_documents:
-        more = F.when(F.col("_start") + F.col("_end") < 2 * F.col("_more"), F.col("size")).otherwise(F.lit(0))
+        # rows with equal keys are taken together, so a shard's last key tells which of its documents are taken once more
+        row = F.struct("_order", "doc_id", "size")
+        met = d.join(cells, by_cell).withColumn("_end", F.sum("size").over(whole.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        last = met.groupBy("_s", "_t", "_full").agg(F.max(F.when(2 * F.col("_end") - F.col("size") < 2 * F.col("_more"), row)).alias("_last"))
+        # written, so that Spark knows how small it is before it plans the join
+        d = in_shards(docs.select("doc_id", "source", *measured, *keep)).join(stored(last, "shards"), by_cell)
+        more = F.when(row <= F.col("_last"), F.col("size")).otherwise(F.lit(0))
     else:
-        more = F.greatest(F.lit(0), F.least(F.col("_end"), F.col("_more")) - F.col("_start"))
-    return d.select("doc_id", "size", "source_size", "target", (F.col("_full") * F.col("size") + more).cast("long").alias("taken"), F.col("_full").alias("copies"), F.lit(0).cast("long").alias("part_from"), more.cast("long").alias("part_to"), *keep)
+        d = d.join(cells, by_cell).withColumn("_end", F.sum("size").over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        more = F.greatest(F.lit(0), F.least(F.col("_end"), F.col("_more")) - F.col("_end") + F.col("size"))
+    carried = keep if whole_documents else ()
+    return d.select("doc_id", "size", "source_size", "target", (F.col("_full") * F.col("size") + more).cast("long").alias("taken"), F.col("_full").alias("copies"), F.lit(0).cast("long").alias("part_from"), more.cast("long").alias("part_to"), *carried)

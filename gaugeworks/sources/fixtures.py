@@ -31,6 +31,10 @@ SHAPES = (
 )
 
 
+#: The twelve shapes that the golden figures of the survey are stated for.
+TWELVE = (*SHAPES[:11], SHAPES[-1])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,13 +54,13 @@ def _filled(shape: str) -> Column:
     return F.concat(*[names.get(x, F.lit(x)) for x in _parts(shape)])
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, shapes: tuple[str, ...] = SHAPES) -> DataFrame:
     """id, sample, training, request, finish_reason, seed, output_tokens, supplier, response, answer, ground_truth: samples
     with their item's gold answer, in one join. Catalyst picks it: items grow with the input."""
     line = table(spark, sf_dir, "lineitem").join(items(spark, sf_dir), F.col("l_orderkey") == F.col("id"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    which, response = F.col("l_partkey") % len(SHAPES), F.lit(None).cast("string")
-    for i, shape in reversed(list(enumerate(SHAPES))):
+    which, response = F.col("l_partkey") % len(shapes), F.lit(None).cast("string")
+    for i, shape in reversed(list(enumerate(shapes))):
         response = F.when(which == i, _filled(shape)).otherwise(response)
     return line.select(
         "id",

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks import plans
-from gaugeworks.functions import hashing
+from gaugeworks.functions import hashing, readers
 from gaugeworks.operators import binning, calibration, contrasts, passk, sampling
+from gaugeworks.sources.fixtures import TWELVE, scored
 
 
 def one(spark, column):
@@ -15,7 +16,9 @@ def one(spark, column):
 
 
 def test_summary_golden(spark):
-    r = plans.QUERIES["passk_summary"](spark, "/root/testdata/sf0.01").first()
+    d = scored(spark, "/root/testdata/sf0.01", TWELVE)
+    verdicts = readers.verdicts(F.col("response"), F.col("ground_truth"))
+    r = passk.summary(passk.per_item(d, verdicts["lenient"], verdicts["strict"])).first()
     assert (r.n_items, r.n_responses, r.correct, r.correct_strict, r.min_n, r.max_n, r.zero_correct) == (14743, 60000, 35123, 15038, 1, 13, 1194)
     assert r.mean_solve_rate == pytest.approx(0.584367088, abs=1e-9)
     assert r.mean_solve_rate_strict == pytest.approx(0.250127192, abs=1e-9)

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 OVERHEAD = 8
 #: A group of equal texts above 1 / GROUP_SHARE of a shard is divided.
 GROUP_SHARE = 50
-#: Fine ranges per shard, and sampled keys per fine range. Sample and splitters stay on the driver: shards * RANGES keys.
-RANGES, SAMPLES = 24, 8
+#: Fine ranges per shard at least, records of a range at most on average (up to MOST ranges, whose splitters the driver and every
+#: task hold: 64 bytes each), and sampled keys per fine range.
+RANGES, RECORDS, MOST, SAMPLES = 24, 1_000_000, 1 << 16, 8
 
 
 def _key(digest: Column, doc_id: Column) -> Column:
@@ -49,11 +50,12 @@ def shard_by_size(docs: DataFrame, shards: int = 24, seed: int = 11) -> DataFram
     d = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("digest"))
     # a record is 32 + some 30 bytes here, whatever its text: cut the lineage, so that texts are read once
     d = d.checkpoint() if docs.sparkSession.sparkContext.getCheckpointDir() else d
-    total = d.agg(F.sum("size")).first()[0] or 0
+    total, records = d.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    ranges = max(shards * RANGES, min(MOST, records // RECORDS))
     # fewer than shards * GROUP_SHARE groups can be this large
     overfull = {r[0]: r[1] for r in d.groupBy("digest").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") * (shards * GROUP_SHARE) > total).collect()}
     key = _key(F.col("digest"), F.col("doc_id"))
-    wanted = shards * RANGES * SAMPLES
+    wanted = ranges * SAMPLES
     drawn = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30) < F.least(F.lit(1.0), F.col("size") * F.lit(wanted / max(total, 1)))
     sample = d.filter(drawn).select(key.alias("key")).orderBy("key").withColumn("at", F.row_number().over(Window.orderBy("key")))
     picked = [r[0] for r in sample.filter(F.col("at") % SAMPLES == 0).select("key").collect()]

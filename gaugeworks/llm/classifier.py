@@ -129,6 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Machine:
     y = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text", F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)).alias("n_chars")).join(F.broadcast(y), "doc_id")
+    # one document a doc_id, however many rows share it: the smallest by digest
+    one = F.min(F.struct(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "n_chars", "text", "quality")).alias("one")
+    rows = rows.groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.n_chars", "one.quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

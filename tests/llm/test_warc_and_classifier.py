@@ -1,12 +1,18 @@
 from __future__ import annotations
 
+import collections
 import gzip
 import hashlib
+import math
+import re
+import string
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
+from test_decontamination_and_quality import counts
 
 from gaugeworks.llm import classifier, queries, warc
 from gaugeworks.llm.common import scratch_path
@@ -68,6 +74,46 @@ def test_pairwise_identity():
         assert got == pytest.approx(0.3 + m.w[at] @ x + pairs)
 
 
+def plain_score(m, text, n_chars):
+    """The machine's score of one text, word by word and pair by pair."""
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lower = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words]
+    hashed = collections.Counter(xxhash.xxh64_intdigest(w.encode(), 3) % classifier.WORDS for w in lower)
+    x = {i: math.log1p(n) for i, n in hashed.items()}
+    norm = math.sqrt(sum(v * v for v in x.values()))
+    x = {i: v / norm for i, v in x.items()}
+    count = lambda chars: sum(c in chars for c in t)
+    ascii_classes = [string.ascii_lowercase, string.ascii_uppercase, string.digits, " \t\v\f\r", "\n", ".,", ";:!?'\"-()", "#*$%&|<>"]
+    classes = [count(c) for c in ascii_classes]
+    far = sum(ord(c) > 127 for c in t)
+    classes += [len(t) - sum(classes) - far, far]
+    n, word_chars, symbols, dup_lines, repeats = counts(t)
+    stats = [math.log1p(n), word_chars / max(n, 1), symbols / max(n, 1), math.log1p(dup_lines), repeats / max(n, 1), math.log1p(n_chars or 0), math.log1p(classes[4]), float(n == 0)] + [c / max(len(t), 1) for c in classes]
+    for i, v in enumerate(stats):
+        x[classifier.WORDS + i] = min(4, max(-4, (v - m.mean[i]) / m.scale[i])) / 4
+    at = sorted(x)
+    z = m.w0 + sum(m.w[i] * x[i] for i in at) + sum(float(m.v[a] @ m.v[b]) * x[a] * x[b] for k, a in enumerate(at) for b in at[:k])
+    return 1 / (1 + math.exp(-min(30, max(-30, z))))
+
+
+def test_scores_equal_a_plain_machine(spark, documents):
+    rng = np.random.default_rng(9)
+    size = classifier.WORDS + classifier.STATISTICS
+    m = classifier.Machine(0.1, rng.normal(0, 0.3, size), rng.normal(0, 0.2, (size, 4)), rng.normal(size=classifier.STATISTICS), rng.uniform(0.5, 2, classifier.STATISTICS))
+    texts = ["One two TWO three.\nOne two", "", None, "\u00e9t\u00e9 \u4e2d| #1", " \n\n", "a b c d e f g h " * 3, "long " * 3000]
+    got = {r.doc_id: r.score for r in classifier.score(documents(texts), m).collect()}
+    assert got == {i: pytest.approx(plain_score(m, t, len(t) if t else None), abs=1e-9) for i, t in enumerate(texts)}
+
+
+def test_repeated_rows_train_once(spark, documents):
+    """However many rows share a doc_id, one of them is sent and counts."""
+    texts, ids = [f"text {i} {'%%% ' * (i % 2) * 9}" for i in range(40)], list(range(40))
+    y = spark.createDataFrame([(i, i % 2, 0) for i in ids], "doc_id long, quality int, toxic int")
+    one, many = (classifier.train(d, y) for d in (documents(texts, ids=ids), documents(texts + texts[:1] * 50, ids=ids + [0] * 50)))
+    assert one.w0 == many.w0 and (one.w == many.w).all() and (one.v == many.v).all()
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     r = queries.op10_factorisation_machine(spark, folder).toPandas()

@@ -57,7 +57,11 @@ def _filled(shape: str) -> Column:
 def scored(spark: SparkSession, sf_dir: str, shapes: tuple[str, ...] = SHAPES) -> DataFrame:
     """id, sample, training, request, finish_reason, seed, output_tokens, supplier, response, answer, ground_truth: samples
     with their item's gold answer, in one join. Catalyst picks it: items grow with the input."""
-    line = table(spark, sf_dir, "lineitem").join(items(spark, sf_dir), F.col("l_orderkey") == F.col("id"))
+    # scoring costs far more than reading, so lines are dealt by item over all cores, however few row groups their file has;
+    # sample numbers, per-item counts and a shuffled join all use this partitioning
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    line = table(spark, sf_dir, "lineitem").repartition(tasks, "l_orderkey")
+    line = line.join(items(spark, sf_dir), F.col("l_orderkey") == F.col("id"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     which, response = F.col("l_partkey") % len(shapes), F.lit(None).cast("string")
     for i, shape in reversed(list(enumerate(shapes))):

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import stored
 from gaugeworks.llm.words import LOWER, SPACE, Words, pieces, xxh64
 
-#: Different words whose counts a task holds before it passes them on.
-HELD = 1 << 19
+#: Different words whose counts a task holds before it passes them on; as many again wait to be added. A worker copies them
+#: several times over, and an executor has as many workers as cores.
+HELD = 1 << 17
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "line feed", "stop", "mark", "symbol", "other", "non-ASCII")
 CLASS_OF = np.full(256, 8, np.uint8)
@@ -72,60 +73,63 @@ def _summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.
     return lang[first], h[first], np.add.reduceat(n[order], begins) if len(begins) else n, word.take(pa.array(first))
 
 
-def _reference_counts(docs: DataFrame) -> DataFrame:
-    """lang, kind (0 classes, 1 words, 2 all words), code, word, n."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str | None, int] = {}
-        classes: dict[int, np.ndarray] = {}
-        words: dict[int, int] = {}
-        held: list[tuple] = []
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of one task's texts (columns lang, text): lang, kind (0 classes, 1 words, 2 all words), code, word, n."""
+    names: dict[str | None, int] = {}
+    classes: dict[int, np.ndarray] = {}
+    words: dict[int, int] = {}
+    held: list[tuple] = []
+    waiting = 0
+
+    def rows(lang: list, kind: int, code: list, word: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        own = list(names)
+        return pa.record_batch([pa.array([own[x] for x in lang], pa.string()), pa.array(np.full(len(n), kind, np.int32)), pa.array(code, pa.int32()), word, pa.array(n, pa.int64())], names=["lang", "kind", "code", "word", "n"])
+
+    def passed_on() -> Iterator[pa.RecordBatch]:
+        lang, _, n, word = held[0]
+        for at in range(0, len(n), 1 << 15):
+            part = slice(at, at + (1 << 15))
+            yield rows(lang[part].tolist(), 1, [0] * len(n[part]), word[part], n[part])
+
+    for b in batches:
+        langs = b.column(0).to_pylist()
+        for at, to, raw, bounds in pieces(b.column(1)):
+            counts, w = class_counts(raw, bounds), Words(raw, bounds, True)
+            of = np.array([names.setdefault(x, len(names)) for x in langs[at:to]])
+            for x in np.unique(of).tolist():
+                classes[x] = classes.get(x, 0) + counts[of == x].sum(axis=0)
+                words[x] = words.get(x, 0) + int(w.count[of == x].sum())
+            size = w.end - w.start
+            h, lang = xxh64(w.buf, w.start, w.end, 11), of[w.of()]
+            order = np.lexsort((h, lang))
+            new = np.ones(len(order), bool)
+            new[1:] = (h[order[1:]] != h[order[:-1]]) | (lang[order[1:]] != lang[order[:-1]])
+            begins = np.flatnonzero(new)
+            if not len(begins):
+                continue
+            one, size = order[begins], size[order[begins]]
+            ends = np.cumsum(size)
+            data = w.buf[np.repeat(w.start[one] - ends + size, size) + np.arange(ends[-1])]
+            word = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data)])
+            held.append((lang[one], h[one], np.diff(np.append(begins, len(order))), word))
+            waiting += len(one)
+            if waiting > HELD:
+                held, waiting = [_summed(held)], 0
+                if len(held[0][1]) > HELD:
+                    yield from passed_on()
+                    held = []
+    if held:
+        held = [_summed(held)]
+        yield from passed_on()
+    for x, c in classes.items():
+        yield rows([x] * 10, 0, list(range(10)), pa.nulls(10, pa.binary()), c)
+    if words:
+        yield rows(list(words), 2, [0] * len(words), pa.nulls(len(words), pa.binary()), np.array(list(words.values())))
 
-        def rows(lang: list, kind: int, code: list, word: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-            own = list(names)
-            return pa.record_batch([pa.array([own[x] for x in lang], pa.string()), pa.array(np.full(len(n), kind, np.int32)), pa.array(code, pa.int32()), word, pa.array(n, pa.int64())], names=["lang", "kind", "code", "word", "n"])
 
-        def passed_on() -> Iterator[pa.RecordBatch]:
-            lang, _, n, word = held[0]
-            for at in range(0, len(n), 1 << 15):
-                part = slice(at, at + (1 << 15))
-                yield rows(lang[part].tolist(), 1, [0] * len(n[part]), word[part], n[part])
-
-        for b in batches:
-            langs = b.column(0).to_pylist()
-            for at, to, raw, bounds in pieces(b.column(1)):
-                counts, w = class_counts(raw, bounds), Words(raw, bounds, True)
-                of = np.array([names.setdefault(x, len(names)) for x in langs[at:to]])
-                for x in np.unique(of).tolist():
-                    classes[x] = classes.get(x, 0) + counts[of == x].sum(axis=0)
-                    words[x] = words.get(x, 0) + int(w.count[of == x].sum())
-                size = w.end - w.start
-                h, lang = xxh64(w.buf, w.start, w.end, 11), of[w.of()]
-                order = np.lexsort((h, lang))
-                new = np.ones(len(order), bool)
-                new[1:] = (h[order[1:]] != h[order[:-1]]) | (lang[order[1:]] != lang[order[:-1]])
-                begins = np.flatnonzero(new)
-                if not len(begins):
-                    continue
-                one, size = order[begins], size[order[begins]]
-                ends = np.cumsum(size)
-                data = w.buf[np.repeat(w.start[one] - ends + size, size) + np.arange(ends[-1])]
-                word = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data)])
-                held.append((lang[one], h[one], np.diff(np.append(begins, len(order))), word))
-                if len(held) > 16:
-                    held = [_summed(held)]
-                    if len(held[0][1]) > HELD:
-                        yield from passed_on()
-                        held = []
-        if held:
-            held = [_summed(held)]
-            yield from passed_on()
-        for x, c in classes.items():
-            yield rows([x] * 10, 0, list(range(10)), pa.nulls(10, pa.binary()), c)
-        if words:
-            yield rows(list(words), 2, [0] * len(words), pa.nulls(len(words), pa.binary()), np.array(list(words.values())))
-
-    found = docs.select(F.col("lang").cast("string"), "text").mapInArrow(run, "lang string, kind int, code int, word binary, n long")
+def _reference_counts(docs: DataFrame) -> DataFrame:
+    """The same, added up over all tasks."""
+    found = docs.select(F.col("lang").cast("string"), "text").mapInArrow(counted, "lang string, kind int, code int, word binary, n long")
     return found.groupBy("lang", "kind", "code", "word").agg(F.sum("n").alias("n"))
 
 

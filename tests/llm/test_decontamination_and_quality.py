@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,19 @@ def test_distances_equal_plain_histograms(spark, data, documents, monkeypatch, h
             assert got[i].js_words == pytest.approx(js([*hist, len(words[i]) - sum(hist)], ref_words), abs=1e-9)
 
 
+def test_counting_holds_little():
+    """A task over 1.2 million different words, of which it may hold only a part: all are counted, in bounded memory."""
+    texts = pa.array([" ".join(f"w{i:07x}" for i in range(at, at + 4000)) for at in range(0, 1_200_000, 4000)])
+    table = pa.record_batch([pa.array(["en"] * len(texts)), texts], names=["lang", "text"])
+    tracemalloc.start()
+    try:
+        n = sum(sum(b.column("n").to_pylist()) for b in Q.counted(iter([table])) if b.column("kind")[0].as_py() == 1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 1_200_000 and peak < 64e6
+
+
 def test_labels_agree(spark):
     """Held-out check on labels: few good documents go, most bad ones do."""
     folder = "/root/testdata/sf0.01"

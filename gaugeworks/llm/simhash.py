@@ -15,6 +15,7 @@ all its doc_ids are null); extra columns are left out; an empty table gives an e
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -209,8 +210,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFra
 MATCHES = 16
 #: Hubs of the first pass; each pass has so many times more.
 HUBS, MORE = 16, 16
-#: Documents whose shingles are counted, to know common ones, and how many of these are told apart.
+#: Documents whose shingles and words are counted, to know common ones, and how many of each are told apart.
 COUNTED, COMMON = 20_000, 1 << 16
+#: Buckets of a sketch, and pairs a text whose sketches are joined at once.
+BUCKETS, AT_ONCE = 256, 8
 #: Places of a run that are compared at once, and pairs that are held: a worker keeps several arrays of that length.
 PLACES = 1 << 16
 
@@ -222,45 +225,66 @@ def text_digest(text: Column) -> Column:
 
 def shingle_sets(column: pa.Array, words: int) -> pa.Array:
     """Each text's distinct shingle hashes, sorted."""
-    parts, sizes = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    return weighed_sets(column, words, (np.zeros(0, np.int64), np.zeros(0, np.int64)))[0]
+
+
+def weighed_sets(column: pa.Array, words: int, common: tuple[np.ndarray, np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """The same, and each shingle's weight: the sum over its words, in `common` by sorted hash; other words weigh 0."""
+    parts, weights, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
     for at, to, w in word_pieces(column, lower=True):
-        start, end, n = w.shingles(words)
-        h, of = xxh64(w.buf, start, end, 42).view(np.int64), np.repeat(np.arange(to - at), n)
+        head, tail, n = w.spans(words)
+        h, of = xxh64(w.buf, w.start[head], w.end[tail], 42).view(np.int64), np.repeat(np.arange(to - at), n)
+        weight = np.zeros(len(h), np.int64)
+        if len(common[0]):
+            own = w.hashes().view(np.int64)
+            place = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
+            up_to = np.concatenate([[0], np.cumsum(np.where(common[0][place] == own, common[1][place], 0))])
+            weight = up_to[tail + 1] - up_to[head]
         order = np.lexsort((h, of))
         h, of = h[order], of[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
         parts.append(h[new])
+        weights.append(weight[order][new])
         sizes.append(np.bincount(of[new], minlength=to - at))
-    return pa.LargeListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int64()), pa.array(np.concatenate(parts)))
+    return pa.LargeListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int64()), pa.array(np.concatenate(parts))), np.concatenate(weights)
 
 
-def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """The shingles that most of about COUNTED documents hold, by rising number of documents. Only an order follows from them."""
+def common_parts(docs: DataFrame, words: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Of about COUNTED documents, the shingles that most of them hold, by rising number of documents, and their most frequent
+    words: sorted hashes and weights, eight for each power of two in their number. Only an order follows from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                yield pa.record_batch([shingle_sets(b.column(0).slice(at, 64), words).values], names=["shingle"])
+                some = b.column(0).slice(at, 64)
+                own = [np.zeros(0, np.int64), *(w.hashes().view(np.int64) for _, _, w in word_pieces(some, lower=True))]
+                for kind, h in enumerate((shingle_sets(some, words).values.to_numpy(), np.concatenate(own))):
+                    h, n = np.unique(h, return_counts=True)
+                    yield pa.record_batch([pa.array(np.full(len(h), kind, np.int32)), pa.array(h), pa.array(n)], names=["kind", "hash", "n"])
 
     every = max(1, docs.count() // COUNTED)
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 2")
-    rows = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
-    return np.array([r.shingle for r in reversed(rows)], np.int64)
-
-
-def prefixes(sets: pa.Array, similarity: float, common: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Each set's size, and the first of its shingles in an order that all texts share (common ones last). Sets with a Jaccard
-    similarity of at least `similarity` share one of these. A text without shingles has a 0."""
+    counts = some.mapInArrow(run, "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n")).where("n > 2")
+    counts, path = stored_at(counts, "common")
+    shingles, own = (counts.where(F.col("kind") == k).orderBy(F.desc("n"), "hash").limit(COMMON).collect() for k in (0, 1))
+    drop_scratch(docs.sparkSession, path)
+    own = sorted((r.hash, round(8 * np.log2(r.n))) for r in own)
+    return np.array([r.hash for r in reversed(shingles)], np.int64), (np.array([h for h, _ in own], np.int64), np.array([n for _, n in own], np.int64))
+
+
+def prefixes(sets: pa.Array, weight: np.ndarray, similarity: float, common: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Each set's size, and the first of its shingles in an order that all texts share: those of rare words (a small weight)
+    first, common ones last. Sets with a Jaccard similarity of at least `similarity` share one of these. A text without
+    shingles has a 0."""
     ends = sets.offsets.to_numpy()
     h, size = sets.values.to_numpy(), np.diff(ends)
     by_hash = np.argsort(common)
-    rank = np.zeros(len(h), np.int64)
+    rank = weight.copy()
     if len(common):
         at = np.minimum(np.searchsorted(common, h, sorter=by_hash), len(common) - 1)
         known = common[by_hash[at]] == h
-        rank[known] = by_hash[at[known]] + 1
+        rank[known] = by_hash[at[known]] + (1 << 32)
     h = h[np.lexsort((h, rank, np.repeat(np.arange(len(size)), size)))]
     n = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
     begins = np.cumsum(n) - n
@@ -269,6 +293,43 @@ def prefixes(sets: pa.Array, similarity: float, common: np.ndarray) -> tuple[np.
     return size, pa.ListArray.from_arrays(pa.array(np.append(begins, n.sum()), pa.int32()), pa.array(first))
 
 
+def sketches(sets: pa.Array) -> pa.Array:
+    """Each set's number of shingles in every bucket of hashes, one byte each (255: as many or more)."""
+    size = np.diff(sets.offsets.to_numpy())
+    bucket = np.repeat(np.arange(len(size)) * BUCKETS, size) + (sets.values.to_numpy().view(np.uint64) >> np.uint64(56)).astype(np.int64)
+    counts = np.minimum(np.bincount(bucket, minlength=BUCKETS * len(size)), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.arange(len(size) + 1, dtype=np.int32) * BUCKETS), pa.py_buffer(counts)])
+
+
+def _sketched(column: pa.Array) -> np.ndarray:
+    n, at = len(column), int(np.frombuffer(column.buffers()[1], np.int32)[column.offset]) if len(column) else 0
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[at : at + n * BUCKETS].reshape(n, BUCKETS).astype(np.int16)
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
+    """The pairs (a, b) whose sketches leave it open whether they are similar, and where they are stored. Sets differ in at least
+    as many shingles as their buckets do, so no similar pair goes. Pairs are joined to sketches in parts, each of AT_ONCE
+    pairs a node at most, so that disk doesn't grow with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                size = part.column(2).to_numpy().astype(np.int64) + part.column(4).to_numpy()
+                apart = np.abs(_sketched(part.column(3)) - _sketched(part.column(5))).sum(axis=1)
+                keep = apart <= size - 2 * np.ceil(similarity / (1 + similarity) * size - 1e-6)
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    ends = [nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+    parts = max(1, -(-pairs.count() // (AT_ONCE * max(1, nodes.count()))))
+    found = []
+    for k in range(parts):
+        own = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k)
+        both = own.join(ends[0], "a").join(ends[1], "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b")
+        found.append(stored_at(both.mapInArrow(run, "a long, b long"), "possible"))
+    return functools.reduce(DataFrame.union, (x for x, _ in found)), [path for _, path in found]
+
+
 def _may(size_a: np.ndarray, place_a: np.ndarray, size_b: np.ndarray, place_b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets can still be similar if the shingles at these places are the first that they share."""
     need = np.ceil(similarity / (1 + similarity) * (size_a + size_b) - 1e-6)
@@ -407,6 +468,7 @@ def similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, si
                     keep[k] = whole == 0 or shared >= similarity * whole - 1e-9
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
+    pairs, pairs_at = possible(pairs, nodes, similarity)
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # one document of each text: thousands of copies aren't sent. Texts are sent, since hashes don't compress
     chosen, chosen_at = stored_at(nodes.join(asked, "node", "left_semi").select("node", F.col("digest").alias("d"), "least"), "asked")
@@ -415,7 +477,7 @@ def similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, si
     left = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(own.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     out = stored(both.mapInArrow(compare, "a long, b long"), "links")
-    drop_scratch(pairs.sparkSession, chosen_at, own_at)
+    drop_scratch(texts.sparkSession, chosen_at, own_at, *pairs_at)
     return out
 
 
@@ -427,24 +489,26 @@ def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.
     of their first shingles in an order that puts common ones last: as many that two such texts can't miss each other.
     Those pairs, if no link joins them yet, are compared in the same way. A run of texts that leaves too many pairs is
     first compared with a few hubs, then, if links leave pairs apart still, with 16 times as many, and so on until all
-    are compared: no link between classes is lost, and no task lists the pairs of a linked group.
+    are compared: no link between classes is lost, and no task lists the pairs of a linked group. Texts are read only for
+    the pairs that may be similar by their sketches.
 
     Null, empty and blank texts are similar to each other and to no other text; a text with fewer words than a shingle is
     one shingle; null doc_ids and repeated rows are rows like any other; extra columns are left out.
     """
     d = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), "text")
-    common = common_shingles(d, words)
+    common, common_words = common_parts(d, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                size, first = prefixes(shingle_sets(part.column(2), words), similarity, common)
+                sets, weight = weighed_sets(part.column(2), words, common_words)
+                size, first = prefixes(sets, weight, similarity, common)
                 fp = fingerprint_batch(part.column(2), words).view(np.int64)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(size.astype(np.int32)), first, pa.array(fp)], names=["doc_id", "digest", "size", "prefix", "fp"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(size.astype(np.int32)), first, pa.array(fp), sketches(sets)], names=["doc_id", "digest", "size", "prefix", "fp", "sketch"])
 
-    prints = d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, digest binary, size int, prefix array<long>, fp long")
-    distinct = prints.groupBy("digest").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp"), F.min("doc_id").alias("least"))
+    prints = d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, digest binary, size int, prefix array<long>, fp long, sketch binary")
+    distinct = prints.groupBy("digest").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"))
     nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")  # fixed by the write
     pairs, pairs_at = stored_at(simhash_pairs(nodes, budget), "fingerprint-pairs")
     found = components(similar(pairs, d, nodes, words, similarity))

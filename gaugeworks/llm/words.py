@@ -99,11 +99,15 @@ class Words:
     def hashes(self, seed: int = 42) -> np.ndarray:
         return xxh64(self.buf, self.start, self.end, seed)
 
-    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """start, end and number per text of all k-word shingles; a shorter text with words is one shingle."""
+    def spans(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, last word and number per text of all k-word shingles; a shorter text with words is one shingle."""
         n = np.where(self.count >= k, self.count - k + 1, np.minimum(self.count, 1))
         head = np.repeat(self.first[:-1], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        tail = np.minimum(head + k, np.repeat(self.first[1:], n)) - 1
+        return head, np.minimum(head + k, np.repeat(self.first[1:], n)) - 1, n
+
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """start, end and number per text of these."""
+        head, tail, n = self.spans(k)
         return self.start[head], self.end[tail], n
 
 

@@ -186,6 +186,50 @@ def test_copies_of_one_text_give_few_pairs(spark, documents, monkeypatch):
     assert sum(sent) < 30 * len(texts)
 
 
+def test_unlike_texts_are_not_read(spark, documents, monkeypatch):
+    """Texts with common words in chance order, some with one passage: no text is compared, but for those of the similar pair."""
+    rng = random.Random(8)
+    common, passage = "the of and to in a is it".split(), [f"passage{i}" for i in range(20)]
+
+    def text(i):
+        w = [rng.choice(common) for _ in range(60)] + [f"own{i}x{j}" for j in range(30)]
+        return " ".join(w + passage * (i % 20 == 0))
+
+    texts = [text(i) for i in range(400)]
+    texts.append(texts[7] + " more")
+    listed, read, may, put = [], [], simhash.similar, simhash.stored_at
+    monkeypatch.setattr(simhash, "COUNTED", 100)  # common shingles are known from a quarter
+    monkeypatch.setattr(simhash, "similar", lambda pairs, *a: (listed.append(pairs.count()), may(pairs, *a))[1])
+
+    def stored_at(df, label):
+        out = put(df, label)
+        read.extend([out[0].count()] if label == "asked" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "stored_at", stored_at)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_texts(documents(texts)).collect()}
+    assert got == {i: 7 if i == 400 else i for i in range(401)}
+    assert sum(read) <= 4 and sum(listed) < 250
+
+
+def test_sketches_lose_no_similar_pair(spark):
+    """Sets of all sizes and of just the similarity, against the exact test; most pairs of unlike sets go."""
+    rng = np.random.default_rng(3)
+    sets, links = [np.zeros(0, np.int64), np.zeros(0, np.int64)], {(0, 1)}
+    for size in (1, 2, 5, 9, 90, 900, 9000, 90000):
+        for extra in (0, size // 9, size // 8):
+            one = rng.integers(-(1 << 63), 1 << 63, size + extra, dtype=np.int64)
+            sets += [one[:size], one[extra:]]
+            if 10 * (size - extra) >= 8 * (size + extra):
+                links.add((len(sets) - 2, len(sets) - 1))
+    column = pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int64()), pa.array(np.concatenate(sets)))
+    rows = [(i, len(x), bytearray(y)) for i, (x, y) in enumerate(zip(sets, simhash.sketches(column).to_pylist(), strict=True))]
+    nodes = spark.createDataFrame(rows, "node long, size int, sketch binary")
+    every = spark.createDataFrame([(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))], "a long, b long")
+    got = {tuple(r) for r in simhash.possible(every, nodes, 0.8)[0].collect()}
+    assert links <= got and len(got) < 150
+
+
 def test_keep_one_with_clashing_columns(spark, documents):
     d = documents(["a b", "c", None, ""], ids=[1, 2, 3, 4])
     for name in ("digest", "row", "node", "root", "id", "d", "a.b", "_text_node"):

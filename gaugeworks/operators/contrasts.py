@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pandas as pd
@@ -53,15 +52,20 @@ def mcnemar_p(gained: Column, lost: Column) -> Column:
 
 
 def mcnemar_exact(gained: Column, lost: Column) -> Column:
-    """The same with whole numbers of any size, in Arrow batches; for the few rows of a contrast table."""
+    """The same for counts of any size, in Arrow batches; about 20 sqrt(n) terms a row."""
 
     @F.pandas_udf("double")
     def run(g: pd.Series, x: pd.Series) -> pd.Series:
         def p(a: int, b: int) -> float:
-            n = a + b
-            return min(1.0, 2 * sum(comb(n, i) for i in range(min(a, b) + 1)) / 2**n) if n else 1.0
-
-        return pd.Series([p(int(a), int(b)) for a, b in zip(g, x, strict=True)])
+            # terms C(n, i) from the middle down, as shares of the middle one; those beyond are below 1e-323 of it
+            n, k = a + b, min(a, b)
+            middle = n // 2
+            i = np.arange(middle, max(0, middle - int(20 * n**0.5) - 20), -1, dtype=float)
+            terms = np.concatenate([[1.0], np.cumprod(i / (n + 1 - i))])
+            whole = 2 * terms.sum() - (1 - n % 2)  # both sides; an even n has one middle
+            return float(min(1.0, 2 * terms[middle - k :].sum() / whole))
+
+        return pd.Series([p(int(a), int(b)) for a, b in zip(g, x, strict=True)], dtype=float)
 
     return run(gained, lost)
 

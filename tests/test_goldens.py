@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import time
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +55,25 @@ def test_mcnemar(spark, gained, lost, p):
     assert one(spark, contrasts.mcnemar_exact(g, x)) == pytest.approx(p, abs=1e-15)
 
 
+def whole(gained, lost):
+    """The test in whole numbers, each term from the last."""
+    n, term, total = gained + lost, 1, 1
+    for i in range(1, min(gained, lost) + 1):
+        term = term * (n - i + 1) // i
+        total += term
+    return min(1.0, float(Fraction(2 * total, 2**n)))
+
+
+def test_mcnemar_of_large_counts(spark):
+    """At the counts of a 0.1 GB table each term can't be made anew: that took minutes a row."""
+    pairs = [(60_000, 60_800), (60_000, 60_001), (1_300, 1_200), (20, 1_500), (0, 800), (7, 0)]
+    d = spark.createDataFrame(pairs, "g long, l long")
+    start = time.monotonic()
+    got = [r[0] for r in d.select(contrasts.mcnemar_exact(F.col("g"), F.col("l"))).collect()]
+    assert time.monotonic() - start < 60
+    assert got == pytest.approx([whole(*p) for p in pairs], rel=1e-10, abs=0)
+
+
 def test_blake2b_order_keys(spark):
     d = spark.createDataFrame([(f"difficulty-tie:{i}",) for i in range(4)] + [(f"audit:20260717:{i}",) for i in range(3)], "t string")
     got = [int(r[0], 16) for r in d.select(hashing.blake2b64(F.col("t"))).collect()]

@@ -74,6 +74,14 @@ def test_mcnemar_of_large_counts(spark):
     assert got == pytest.approx([whole(*p) for p in pairs], rel=1e-10, abs=0)
 
 
+def test_mcnemar_columns_do_not_underflow(spark):
+    """2^-n is zero from n = 1075 on."""
+    pairs = [(619, 591), (689, 575), (60_000, 60_800), (20, 1_500), (1_000, 1_000), (537, 538), (0, 800), (7, 0), (0, 0)]
+    d = spark.createDataFrame(pairs, "g long, l long")
+    got = [r[0] for r in d.select(contrasts.mcnemar_p(F.col("g"), F.col("l"))).collect()]
+    assert got == pytest.approx([whole(*p) for p in pairs], rel=1e-10, abs=0)
+
+
 def test_blake2b_order_keys(spark):
     d = spark.createDataFrame([(f"difficulty-tie:{i}",) for i in range(4)] + [(f"audit:20260717:{i}",) for i in range(3)], "t string")
     got = [int(r[0], 16) for r in d.select(hashing.blake2b64(F.col("t"))).collect()]

@@ -107,14 +107,19 @@ def novel(text: Column) -> Column:
 def closed_part(text: Column, escapes: bool) -> Column:
     """What stands before the brace that closes one open brace; null if none does. One step a brace. With escapes, a brace
     behind an odd run of backslashes is text."""
-    up_to_braces = F.regexp_extract_all(text, F.lit(r"(?s)(?:\\.|[^{}\\])*[{}]" if escapes else r"[^{}]*[{}]"), F.lit(0))
+    # parts end in a brace, but for one with all that follows and a space: were that no match, a search would start anew at
+    # each of its characters and read to the end
+    pattern = r"(?s)(?:[^{}\\]++|\\.)*+[{}]?+" if escapes else r"[^{}]*+[{}]?+"
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("taken"))
 
     def step(s: Column, part: Column) -> Column:
-        depth = s["depth"] + F.when(F.right(part, F.lit(1)) == "{", 1).otherwise(-1)
-        return F.when(s["depth"] == 0, s).otherwise(F.struct(depth.alias("depth"), (s["taken"] + F.length(part)).alias("taken")))
+        end = F.right(part, F.lit(1))
+        return F.when(s["depth"] == 0, s).otherwise(F.struct((s["depth"] + F.when(end == "{", 1).when(end == "}", -1).otherwise(0)).alias("depth"), (s["taken"] + F.length(part)).alias("taken")))
 
-    return F.aggregate(up_to_braces, start, step, lambda s: F.when(s["depth"] == 0, F.left(text, s["taken"] - 1)))
+    def closed(t: Column) -> Column:
+        return F.aggregate(F.regexp_extract_all(F.concat(t, F.lit(" ")), F.lit(pattern), F.lit(0)), start, step, lambda s: F.when(s["depth"] == 0, F.left(t, s["taken"] - 1)))
+
+    return once([text], closed)
 
 
 def boxed(text: Column) -> Column:
@@ -125,8 +130,9 @@ def boxed(text: Column) -> Column:
 
 def boxed_payload(text: Column, which: str = "first") -> Column:
     """Contents of the first or last \\boxed {...} (white space allowed), braces matched, trimmed; empty is none."""
-    pattern = r"(?Us)^(?:.*?)\\boxed\s*\{(.*)$" if which == "first" else r"(?Us)^(?:.*)\\boxed\s*\{(.*)$"
-    return F.when(text.rlike(r"(?U)\\boxed\s*\{"), none_if_empty(strip(closed_part(F.regexp_extract(text, pattern, 1), False))))
+    pattern = r"(?Us)\\boxed\s*\{(.*)$" if which == "first" else r"(?Us)^(?:.*)\\boxed\s*\{(.*)$"
+    # the condition stands inside: behind it nullif would compute the contents twice
+    return none_if_empty(F.when(text.rlike(r"(?U)\\boxed\s*\{"), strip(closed_part(F.regexp_extract(text, pattern, 1), False))))
 
 
 def flat_box(text: Column, n: int = TAIL) -> Column:

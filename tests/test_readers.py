@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,3 +107,25 @@ def test_null_is_never_credited(spark):
     got = d.select(*[f(F.col("r"), F.col("g")) for s in R.SCORERS.values() for f in s.values()], R.lenient_reward(F.col("r"), F.col("g"))).collect()
     assert not any(got[0])
     assert got[1][0] and got[1][-1] == 1.0
+
+
+def test_boxes_before_long_tails(spark):
+    """A tail without braces is read once: a search from each of its characters took the square of its length. Measured by
+    time, for a text that took minutes."""
+    tail = " and so on" * 40_000
+    texts = [r"\boxed{5}" + tail, r"a \boxed { {6} } \boxed{7}" + tail, r"\boxed{8" + tail, tail, None]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    t = F.col("t")
+    start = time.monotonic()
+    got = d.select("i", R.boxed_payload(t), R.boxed_payload(t, "last")).orderBy("i").collect()
+    assert time.monotonic() - start < 30
+    assert [tuple(r)[1:] for r in got] == [("5", "5"), ("{6}", "7"), (None, None), (None, None), (None, None)]
+
+
+def test_closed_part_with_escapes(spark):
+    """Escaped braces are text at the end too, however long a text is."""
+    long = "x" * 100_000
+    cases = [(r"5} 6", "5"), (r"{5} 7\}", None), (r"5\}", None), (r"5\} 6} 7", r"5\} 6"), (r"5\\} 6", r"5\\"), ("5\\", None), ("{5}\\", None), ("", None), (long + "}" + long, long), (long + r"\}" + long, None), (None, None)]
+    d = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
+    got = d.select("i", R.closed_part(F.col("t"), True)).orderBy("i").collect()
+    assert [r[1] for r in got] == [c[1] for c in cases]

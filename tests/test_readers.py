@@ -129,3 +129,14 @@ def test_closed_part_with_escapes(spark):
     d = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
     got = d.select("i", R.closed_part(F.col("t"), True)).orderBy("i").collect()
     assert [r[1] for r in got] == [c[1] for c in cases]
+
+
+def test_first_box_before_long_tails(spark):
+    """The same for the first box."""
+    tail = " and so on" * 40_000
+    texts = [r"\boxed{5}" + tail, r"a \boxed{ {6}} \boxed{7}" + tail, r"\boxed{8" + tail, tail]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    start = time.monotonic()
+    got = d.select("i", R.boxed(F.col("t"))).orderBy("i").collect()
+    assert time.monotonic() - start < 30
+    assert [r[1] for r in got] == ["5", " {6}", None, None]

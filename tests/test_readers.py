@@ -140,3 +140,16 @@ def test_first_box_before_long_tails(spark):
     got = d.select("i", R.boxed(F.col("t"))).orderBy("i").collect()
     assert time.monotonic() - start < 30
     assert [r[1] for r in got] == ["5", " {6}", None, None]
+
+
+def test_verdicts_with_box(spark):
+    """The struct with a box says what boxed_strict says; long tails don't hold it up."""
+    tail = " and so on" * 40_000
+    pairs = [(c[0] + t, g) for c in CASES for g in ("#### 72", "12", "x") for t in ("", tail)] + [(None, "1"), (r"\boxed{nan}", "nan")]
+    d = spark.createDataFrame(pairs, "r string, g string")
+    r, g = F.col("r"), F.col("g")
+    start = time.monotonic()
+    got = d.select(R.verdicts(r, g, box=True).alias("v"), R.verdicts(r, g).alias("w"), R.boxed_strict(r, g).alias("b")).collect()
+    assert time.monotonic() - start < 60
+    assert [tuple(x.v) for x in got] == [(x.w.strict, x.w.lenient, x.b) for x in got]
+    assert sum(x.b for x in got) == 2 * sum(equal((re.findall(r"-?\d+\.?\d*", c[2] or "") or [None])[-1], g) for c in CASES for g in ("72", "12", "x"))
